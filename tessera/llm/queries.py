@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, url_filter
+from tessera.llm import bpe, decontaminate, html_text, licenses, quality, simhash, url_filter
 from tessera.storage import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    text = html_text.extract(pages, ["page_id", "url"], html_text.fit(pages))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -17,5 +24,33 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op3_url_filter": op3_url_filter}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    scored = quality.score(docs, quality.fit(docs, labels.where(~held_out)), ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.matches(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op1_html_text": op1_html_text,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_url_filter": op3_url_filter,
+    "op4_quality": op4_quality,
+    "op5_simhash": op5_simhash,
+    "op9_licenses": op9_licenses,
+    "op10_decontamination": op10_decontamination,
+}
 ORACLES: dict[str, str] = {}
