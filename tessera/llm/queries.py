@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, html_text, licenses, quality, simhash, url_filter
+from tessera.llm import ann, bpe, decontaminate, html_text, licenses, passages, quality, simhash, suffixes, url_filter
 from tessera.storage import table
 
 
@@ -36,6 +36,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed(table(spark, sf_dir, "documents"))
+
+
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.matches(table(spark, sf_dir, "documents"))
 
@@ -50,6 +62,9 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
+    "op6_neighbours": op6_neighbours,
+    "op7_suffixes": op7_suffixes,
+    "op8_passages": op8_passages,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
 }
