@@ -113,25 +113,37 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, fl
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality"):
     """Weights and bias from at most ``sample`` labelled documents; only ids, texts and labels are read.
 
-    The ids of the sample (bounded by ``sample``) are broadcast, and the hashed features of its rows reach the driver.
+    The ids of the sample (bounded by ``sample``) are broadcast, and one task learns from the features of its rows.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     ids = docs.select(F.col(key).alias("k")).where("k is not null").distinct().join(known, "k")
     chosen = ids.orderBy(F.xxhash64("k"), "k").limit(sample)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
-    rows = _sparse(rows.dropDuplicates(["k"]), ["k", "y"], "t").toPandas()
-    rows = rows.iloc[np.argsort(mix(rows.k.to_numpy(np.int64).astype(np.uint64)))]
-    if rows.y.nunique() < 2:
-        rate = float(rows.y.mean()) if len(rows) else 0.5
-        rate = min(max(rate, 1e-6), 1 - 1e-6)
-        return np.zeros(1 << DIM_BITS), float(np.log(rate / (1 - rate)))
-    return ftrl([(np.asarray(b), np.asarray(v, float), y) for b, v, y in zip(rows.bucket, rows.value, rows.y, strict=True)])
+    rows = _sparse(rows.dropDuplicates(["k"]), ["k", "y"], "t")
+
+    def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [p for p in parts if len(p)]
+        weights, bias = np.zeros(1 << DIM_BITS), 0.0
+        if held:
+            all_rows = pd.concat(held, ignore_index=True)
+            order = np.argsort(mix(all_rows["k"].to_numpy(np.int64).astype(np.uint64)), kind="stable")
+            rate = float(all_rows["y"].mean())
+            if 0 < rate < 1:
+                b, v, y = (all_rows[c].to_numpy() for c in ("bucket", "value", "y"))
+                weights, bias = ftrl([(b[i], v[i], y[i]) for i in order])
+            else:
+                bias = float(np.log((rate + 1e-6) / (1 - rate + 1e-6)))
+        yield pd.DataFrame({"weights": [weights.astype("<f4").tobytes()], "bias": [bias]})
+
+    # the sample is bounded, so one task may learn from it; only the weights reach the driver
+    found = rows.coalesce(1).mapInPandas(learn, "weights binary, bias double").first()
+    return (np.frombuffer(found.weights, "<f4"), found.bias) if found else (np.zeros(1 << DIM_BITS, np.float32), 0.0)
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, float], keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
     """``keep`` columns and ``out``, the probability of label 1, of every row's whole text."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))  # 2^DIM_BITS weights
+    shared = spark.sparkContext.broadcast((np.asarray(model[0], np.float32), model[1]))  # 2^DIM_BITS weights
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, bias = shared.value
