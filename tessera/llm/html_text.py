@@ -335,15 +335,13 @@ def extract(df: DataFrame, keep: list[str], labeller: Labeller, html: str = "htm
     """``keep`` columns and the main text of every row."""
     shared = df.sparkSession.sparkContext.broadcast(labeller.w)  # a fixed number of weights
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         net = Labeller()
         net.w = shared.value
-        for pdf in parts:
-            pages = [leaf_blocks(h) if isinstance(h, str) else [] for h in pdf["__html"]]
+        for rows in parts:
+            pages = [leaf_blocks(h) if isinstance(h, str) else [] for h in rows]
             main = net.label(pages)
-            texts = ["\n".join(t for (_, t), on in zip(b, y, strict=True) if on) for b, y in zip(pages, main, strict=True)]
-            yield pdf[keep].assign(**{out: texts})
+            yield pd.Series(["\n".join(t for (_, t), on in zip(b, y, strict=True) if on) for b, y in zip(pages, main, strict=True)], dtype=object)
 
-    kinds = dict(df.dtypes)
-    rows = df.select(*keep, F.col(html).alias("__html"))
-    return rows.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out}` string")
+    return df.select(*(F.col(f"`{c}`") for c in keep), run(F.col(html)).alias(out))

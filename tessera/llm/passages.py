@@ -23,7 +23,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tessera.llm.words import Words, as_bytes, blocks
@@ -302,22 +301,22 @@ def clean(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     asked = _requests(rows).select(F.col("k").alias("__k"), F.col("chains").alias("__chains"))
     joined = df.join(asked, F.col(key).cast("long") == F.col("__k"), "left").drop("__k")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            texts = list(pdf[text])
-            for n, c in enumerate(pdf["__chains"]):
-                if c is not None and isinstance(texts[n], str):
-                    raw = texts[n].encode("utf-8", "surrogatepass")
-                    w, found = _resolve(raw, c)
-                    gone, kept = np.zeros(len(w.start) + 1, bool), []
-                    for p in found:
-                        gone[p[0] : p[1]] = True
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone[:-1], [False]]).astype(np.int8)))
-                    at = 0
-                    for a, b in zip(edge[0::2], edge[1::2], strict=True):
-                        kept.append(raw[at : w.start[a]])
-                        at = w.start[b] if b < len(w.start) else len(raw)
-                    texts[n] = b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass") if len(edge) else texts[n]
-            yield pdf.drop(columns="__chains").assign(**{text: texts})
-
-    return joined.mapInPandas(run, T.StructType(list(df.schema.fields)))
+    @F.pandas_udf("string")
+    def run(rows: pd.Series, chains: pd.Series) -> pd.Series:
+        texts = list(rows)
+        for n, c in enumerate(chains):
+            if c is not None and len(c) and isinstance(texts[n], str):
+                raw = texts[n].encode("utf-8", "surrogatepass")
+                w, found = _resolve(raw, c)
+                gone, kept, at = np.zeros(len(w.start) + 2, np.int8), [], 0
+                for p in found:
+                    gone[p[0] + 1 : p[1] + 1] = 1
+                edge = np.flatnonzero(np.diff(gone))
+                for a, b in zip(edge[0::2], edge[1::2], strict=True):
+                    kept.append(raw[at : w.start[a]])
+                    at = w.start[b] if b < len(w.start) else len(raw)
+                if len(edge):
+                    texts[n] = b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
+        return pd.Series(texts, dtype=object)
+
+    return joined.withColumn(text, run(F.col(text), F.col("__chains"))).drop("__chains")

@@ -145,14 +145,14 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], keep: list[str], text:
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast((np.asarray(model[0], np.float32), model[1]))  # 2^DIM_BITS weights
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, bias = shared.value
-        for pdf in parts:
-            got = np.zeros(len(pdf))
-            for first, doc, bucket, value in features(as_bytes(pdf[text])):
+        for texts in parts:
+            got = np.zeros(len(texts))
+            for first, doc, bucket, value in features(as_bytes(texts)):
                 dot = np.bincount(doc, weights[bucket] * value)
                 got[first : first + len(dot)] = 1 / (1 + np.exp(-np.clip(dot + bias, -35, 35)))
-            yield pdf[keep].assign(**{out: got})
+            yield pd.Series(got)
 
-    kinds = dict(df.dtypes)
-    return df.select(*dict.fromkeys([*keep, text])).mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + f", {out} double")
+    return df.select(*(F.col(f"`{c}`") for c in keep), run(F.col(text)).alias(out))

@@ -57,13 +57,12 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """``key`` and ``fp`` (the fingerprint as a signed long) of every row."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            found = [fingerprint(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"", words) for t in pdf["t"]]
-            yield pd.DataFrame({"k": pdf["k"], "fp": np.array(found, np.uint64).astype(np.int64)})
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        found = [fingerprint(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"", words) for t in texts]
+        return pd.Series(np.array(found, np.uint64).astype(np.int64))
 
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return rows.mapInPandas(run, f"k {dict(df.dtypes)[key]}, fp long").withColumnRenamed("k", key)
+    return df.select(F.col(key), run(F.col(text)).alias("fp"))
 
 
 def _masks(bits: list[int], blocks: int, distance: int) -> list[int]:
