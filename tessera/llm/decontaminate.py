@@ -1,14 +1,14 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts are sequences of words (A-Z lower-cased).  The CGK embedding walks a sequence with random bits: at step j it writes
-the word under its pointer and advances if the j-th random function of that word says so.  Edit distance between two
-sequences becomes Hamming distance between their embeddings.  A repetition samples WIDTH places of the embedding; a window
-of a document is a candidate for an item if all sampled words are equal.
+Texts are sequences of symbols, one for each word and the word after it (A-Z lower-cased).  The CGK embedding walks a
+sequence with random bits: at step j it writes the symbol under its pointer and advances if the j-th random function of
+that symbol says so.  Edit distance between two sequences becomes Hamming distance between their embeddings.  A repetition
+samples WIDTH places of the embedding; a window of a document is a candidate for an item if all sampled symbols are equal.
 
 Every repetition starts its walk at its own relative offset of the item and window, so that a window is any word position
-minus that offset and all windows of all sizes are met in one pass: the first sampled word is looked up for every position
-of every document, and the walk goes on only where the partial key is still that of some item.  Nothing that shares a
-bucket is left out by this.  The number of repetitions follows from the target recall and the share of damaged words.
+minus that offset and all windows of all sizes are met in one pass: the first sampled symbol is looked up for every
+position of every document, and a walk goes on only where the partial key is still that of some item.  Nothing that shares
+a bucket is left out by this.  The number of repetitions follows from the target recall and the share of damaged words.
 
 Candidates are verified: the edit distance in characters between the item and its best fitting part of the widened window
 must be at most MAX_EDIT of the item's length.  Items are taken in blocks of ITEMS_AT_ONCE, each broadcast.
@@ -32,14 +32,22 @@ from tessera.llm.words import Words, as_bytes, blocks, mix
 #: Edit distance allowed, as a share of the item's characters.
 MAX_EDIT = 0.2
 #: Sampled places, damaged words the search is designed for, and the recall it then reaches.
-WIDTH, DAMAGE, RECALL = 5, 0.15, 0.999
+WIDTH, DAMAGE, RECALL = 3, 0.15, 0.999
 ITEMS_AT_ONCE = 5000
-_TABLE_BITS = 16
+_TABLE_BITS = 20
 
 
 def repetitions(width: int = WIDTH, damage: float = DAMAGE, recall: float = RECALL) -> int:
-    """Walks needed: one survives if its sampled words and one resynchronisation are undamaged."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - damage) ** (width + 1)))
+    """Walks needed: one survives if both words of its sampled symbols and one more are undamaged."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - damage) ** (2 * width + 1)))
+
+
+def symbols(w: Words) -> np.ndarray:
+    """A hash for each word and the word after it in the same text."""
+    after = np.ones(len(w.hash), np.uint64)
+    if len(after) > 1:
+        after[:-1] = np.where(w.doc[1:] == w.doc[:-1], w.hash[1:], np.uint64(1))
+    return mix(w.hash * np.uint64(0x9FB21C651E98DF25) + after)
 
 
 class _Walk:
@@ -48,7 +56,7 @@ class _Walk:
     def __init__(self, number: int, total: int, width: int):
         r = np.random.default_rng([2016, number])
         self.offset = (number + 0.5) / total * 0.75
-        self.steps = np.concatenate([[0], np.sort(r.choice(np.arange(1, 3 * (width - 1) + 1), width - 1, replace=False))])
+        self.steps = 4 * np.arange(width) + np.concatenate([[0], r.integers(0, 4, width - 1)])
         self.seeds = r.integers(1, 1 << 63, int(self.steps[-1]) + 1, dtype=np.uint64) | np.uint64(1)
 
     def advance(self, at: np.ndarray, hashes: np.ndarray, step: int) -> np.ndarray:
@@ -65,11 +73,11 @@ class Items:
             if clean := " ".join(normal(t).split()):
                 by_text.setdefault(clean, []).append(i)
         self.texts, self.ids = list(by_text), list(by_text.values())
-        words = [Words([t.encode("utf-8", "surrogatepass")]).hash for t in self.texts]
+        words = [symbols(Words([t.encode("utf-8", "surrogatepass")])) for t in self.texts]
         self.walks = [_Walk(n, total, width) for n in range(total)]
         self.keys: list[list[np.ndarray]] = []
         self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.table: list[np.ndarray] = []
+        self.first = np.zeros(1 << _TABLE_BITS, bool)  # first sampled symbols of any walk
         for walk in self.walks:
             grown, full = [[] for _ in walk.steps], []
             for n, h in enumerate(words):
@@ -87,23 +95,21 @@ class Items:
             self.keys.append([np.unique(np.array(g, np.uint64)) for g in grown])
             full.sort()
             self.rows.append(tuple(np.array(c, t) for c, t in zip(zip(*full, strict=True), (np.uint64, np.int64, np.int64, np.int64), strict=True)) if full else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3))
-            seen = np.zeros(1 << _TABLE_BITS, bool)
-            seen[self.keys[-1][0] >> np.uint64(64 - _TABLE_BITS)] = True
-            self.table.append(seen)
+            self.first[np.array(grown[0], np.uint64) >> np.uint64(64 - _TABLE_BITS)] = True
 
     def candidates(self, w: Words) -> Iterator[tuple[int, int, int]]:
         """Distinct ``(text, item, first word of the window)`` of a block of texts; the window may begin before the text."""
         found: list[np.ndarray] = []
-        opening = mix(w.hash)
+        own = symbols(w)
+        opening = np.flatnonzero(self.first[mix(own) >> np.uint64(64 - _TABLE_BITS)])
         last = w.first[w.doc + 1] if len(w.doc) else np.zeros(0, np.int64)
-        for walk, keys, rows, seen in zip(self.walks, self.keys, self.rows, self.table, strict=True):
-            begin = np.flatnonzero(seen[opening >> np.uint64(64 - _TABLE_BITS)])
-            at, key, k = begin.copy(), np.zeros(len(begin), np.uint64), 0
+        for walk, keys, rows in zip(self.walks, self.keys, self.rows, strict=True):
+            begin, at, key, k = opening, opening, np.zeros(len(opening), np.uint64), 0
             for step in range(int(walk.steps[-1]) + 1):
                 live = at < last[begin]
                 begin, at, key = begin[live], at[live], key[live]
                 if step == walk.steps[k]:
-                    key = mix(key * np.uint64(3) + w.hash[at])
+                    key = mix(key * np.uint64(3) + own[at])
                     known = keys[k]
                     i = np.searchsorted(known, key)
                     live = np.zeros(len(key), bool)
@@ -120,11 +126,30 @@ class Items:
                         found.append(np.stack([w.doc[first], rows[1][row][ends], first - rows[2][row][ends]], 1))
                 if not len(begin):
                     break
-                at = walk.advance(at, w.hash, step)
+                at = walk.advance(at, own, step)
         if found:
             yield from map(tuple, np.unique(np.concatenate(found), axis=0).tolist())
 
 
+    def windows(self, w: Words, max_edit: float) -> Iterator[tuple[int, int, int, int]]:
+        """``(text, item, first word, end)``: candidates widened by the edits allowed; overlapping ones are one window."""
+        held: list[int] | None = None
+        for d, n, at in self.candidates(w):
+            size = self.texts[n].count(" ") + 1
+            slack = 2 + int(size * max_edit) + size // 4
+            lo, hi = max(at - slack, int(w.first[d])), min(at + size + slack, int(w.first[d + 1]))
+            if lo >= hi:
+                continue
+            if held is not None and held[:2] == [d, n] and lo <= held[3]:
+                held[3] = hi
+                continue
+            if held is not None:
+                yield tuple(held)
+            held = [d, n, lo, hi]
+        if held is not None:
+            yield tuple(held)
+
+
 def normal(text: str) -> str:
     """A-Z lower-cased."""
     return text.translate(_LOWER)
@@ -182,14 +207,8 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
                 for first, block in blocks(texts):
                     w = Words(block, lower=True)
                     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                    for d, n, at in bench.candidates(w):
+                    for d, n, lo, hi in bench.windows(w, max_edit):
                         item = bench.texts[n]
-                        size = len(item.split())
-                        slack = 2 + int(size * max_edit) + size // 4
-                        lo = max(at - slack, int(w.first[d]))
-                        hi = min(at + size + slack, int(w.first[d + 1]))
-                        if lo >= hi:
-                            continue
                         before = len(b" ".join(_words(w, int(w.first[d]), lo)).decode("utf-8", "surrogatepass"))
                         before += before > 0
                         window = b" ".join(_words(w, lo, hi)).decode("utf-8", "surrogatepass")
