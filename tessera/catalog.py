@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from tessera.plans import discovery, ingestion, reads, temporal  # noqa: F401  importing registers the queries
+from tessera.plans.registry import ORACLES, QUERIES
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Orders within three discovered reference hops of region ASIA."""
+    return reads.asia_orders(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return QUERIES
 
 
 def oracles():
-    return {}
+    return ORACLES

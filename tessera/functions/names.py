@@ -90,10 +90,14 @@ def names_reference(location: str, target_type: str, keys: list[str]) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
-def structural_reference(location: pd.Series, target_type: pd.Series, keys: pd.Series) -> pd.Series:
+def structural_reference(location: Column, target_type: Column, keys: Column) -> Column:
     """:func:`names_reference` for columns; meant for distinct (location, type, keys) rows only."""
-    return pd.Series([names_reference(a, b, list(c)) for a, b, c in zip(location, target_type, keys, strict=True)])
+
+    @F.pandas_udf("boolean")
+    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([names_reference(x, y, list(z)) for x, y, z in zip(a, b, c, strict=True)])
+
+    return run(location, target_type, keys)
 
 
 def transform_value(value: Column, fold: bool = False, prefix: str = "", suffix: str = "") -> Column:
