@@ -29,7 +29,7 @@ def decode_json(json: Column) -> Column:
         .when(kind == "BIGINT", F.struct(F.lit("i").alias("t"), text.alias("v")))
         .when(kind == "STRING", F.struct(F.lit("s").alias("t"), text.alias("v")))
         .when(kind == "BOOLEAN", F.struct(F.lit("b").alias("t"), text.alias("v")))
-        .when((kind == "DOUBLE") | kind.rlike(r"^DECIMAL\(\d+,[1-9]\d*\)$"), F.struct(F.lit("f").alias("t"), F.when(double == 0, F.lit(0.0)).otherwise(double).cast("string").alias("v")))
+        .when((kind == "DOUBLE") | kind.startswith("DECIMAL") & json.rlike(r"[.eE]"), F.struct(F.lit("f").alias("t"), F.when(double == 0, F.lit(0.0)).otherwise(double).cast("string").alias("v")))
         .otherwise(F.struct(F.lit("j").alias("t"), F.to_json(v).alias("v")))
     )
 

@@ -1,0 +1,146 @@
+"""Small cases of the rules that are easy to get wrong."""
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tessera.functions import names, values
+from tessera.operators import edges, graph, lifecycle, references, search, versions
+from tessera.operators.components import connected_components
+
+
+def test_framing_is_injective(spark):
+    parts = [("a", "b"), ("ab", ""), ("", "ab"), ("1:a", "b"), (None, "ab"), ("a\n", "b")]
+    df = spark.createDataFrame(parts, "x string, y string")
+    assert df.select(values.framed(F.col("x"), F.col("y")).alias("f")).distinct().count() == len(parts)
+
+
+def test_scalars_keep_their_type(spark):
+    rows = [("443",), ('"443"',), ("1.5",), ("-0.0",), ("true",), ("null",), ("18446744073709551615",), ("[1,2]",), ("{}",)]
+    v = values.decode_json(F.col("j"))
+    out = spark.createDataFrame(rows, "j string").select(v["t"].alias("t"), v["v"].alias("v")).collect()
+    assert [r.t for r in out] == ["i", "s", "f", "f", "b", "n", "j", "j", "j"]
+    assert out[0].v == out[1].v == "443" and out[3].v == "0.0"
+
+
+def test_encode_round_trip(spark):
+    rows = [("443",), ('"4\\"3"',), ("true",), ("null",), ("[1,2]",)]
+    df = spark.createDataFrame(rows, "j string")
+    assert [r[0] for r in df.select(values.encode_json(values.decode_json(F.col("j")))).collect()] == [r[0] for r in rows]
+
+
+def test_flatten(spark):
+    df = spark.createDataFrame([('{"a":{"b":1,"c":{"d":"x"}},"e":[1,{"f":2}],"g":{}}',)], "j string")
+    got = df.select(F.map_from_entries(values.flatten_json(F.col("j"))).alias("m")).first().m
+    assert got == {"a.b": "1", "a.c.d": "x", "e": '[1,{"f":2}]', "g": "{}"}
+
+
+def test_partial_merge_replaces_ancestors_and_descendants(spark):
+    df = spark.createDataFrame([({"a.b": "1", "a.c": "2", "d": "3", "ab": "4"}, {"a": "9", "d.e": "8"})], "s map<string,string>, i map<string,string>")
+    assert df.select(values.merge_partial(F.col("s"), F.col("i")).alias("m")).first().m == {"a": "9", "d.e": "8", "ab": "4"}
+
+
+def test_components(spark):
+    df = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (3, 3), (None, 1), (9, 5), (1, 2)], "src long, dst long")
+    assert {tuple(r) for r in connected_components(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (9, 4)}
+    assert connected_components(df.limit(0)).count() == 0
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=25))
+@settings(max_examples=4, deadline=None)
+def test_components_equal_union_find(pairs):
+    from pyspark.sql import SparkSession
+
+    parent = {x: x for p in pairs for x in p if p[0] != p[1]}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            lo, hi = sorted((root(a), root(b)))
+            parent[hi] = lo
+    df = SparkSession.active().createDataFrame(pairs, "src int, dst int")
+    assert {r.node: r.component for r in connected_components(df).collect()} == {x: root(x) for x in parent}
+
+
+@pytest.mark.parametrize(
+    ("place", "kind", "keys", "expected"),
+    [
+        ("VpcId", "AWS::EC2::VPC", ["VpcId"], True), ("SecurityGroups[0].GroupId", "AWS::EC2::SecurityGroup", ["GroupId"], True),
+        ("ReadReplicaSourceDBInstanceIdentifier", "AWS::RDS::DBInstance", ["DBInstanceIdentifier"], True), ("Description", "AWS::EC2::VPC", ["VpcId"], False),
+        ("customer_id", "customer", ["id"], True), ("order_id", "customer", ["id"], False), ("c_nationkey", "nation", ["nationkey"], True),
+        ("c_nationkey", "nation", ["n_nationkey"], False), ("Attachments[0].InstanceId", "AWS::EC2::Instance", ["InstanceId"], True), ("Roles", "IAM.Role", ["Arn"], True),
+    ],
+)
+def test_structural_names(place, kind, keys, expected):
+    assert names.names_reference(place, kind, keys) is expected
+
+
+def test_display_names_never_become_edges(spark):
+    observed = spark.createDataFrame([("a", "f", "s:x"), ("a", "g", "s:y"), ("a", "h", "s:z")], "source string, location string, token string")
+    found = spark.createDataFrame([("a", "f", "s:x", "b", 1, False, True), ("a", "g", "s:y", "b", 2, False, True), ("a", "g", "s:y", "c", 2, False, True)], "source string, location string, token string, chain_id string, match_class int, capped boolean, structural boolean")
+    assert {r.location: (r.reason, r.target) for r in references.decide(found, observed).collect()} == {"f": ("display-name-only", None), "g": ("multiple-candidates", None), "h": ("target-not-found", None)}
+
+
+def test_composite_keys_need_their_own_fields(spark):
+    groups = spark.createDataFrame([("t", 1, "a", "s:1", 2), ("t", 1, "b", "s:2", 2), ("u", 1, "a", "s:5", 2), ("u", 1, "b", "s:5", 2)], "chain_id string, group_id int, property string, token string, size int")
+    seen = spark.createDataFrame([("p", "o", "a", "s:1"), ("p", "o", "b", "s:2"), ("q", "o", "x", "s:1"), ("q", "o", "a", "s:9"), ("q", "o", "b", "s:2"), ("r", "o", "only", "s:5")], "source string, object_path string, field string, token string")
+    assert [(r.source, r.chain_id) for r in references.composite(seen, groups).collect()] == [("p", "t")]
+
+
+def test_fold_state_machine(spark):
+    e = [(1, 1, 0, True, False, {"a": "1"}), (1, 2, 0, False, False, {"b": "2"}), (1, 3, 0, True, True, {}), (1, 3, 1, True, False, {"a": "1"}), (1, 4, 0, True, False, {"a": "1"}), (2, 1, 0, True, True, {}), (3, 1, 0, True, False, {"a": "1"}), (3, 1, 1, True, False, {"a": "2"})]
+    df = spark.createDataFrame([(*x, []) for x in e], "chain_id int, captured_at int, idx int, full boolean, deleted boolean, props map<string,string>, loose array<string>")
+    out = versions.fold(df, "chain_id int, version int, valid_from int, valid_to int, deleted_at int, props map<string,string>, outcome string")
+    got = sorted((r.chain_id, r.version, r.valid_from, r.valid_to or -1, r.deleted_at or -1, r.outcome) for r in out.collect())
+    assert got == [(1, 1, 1, 2, -1, "version"), (1, 2, 2, -1, 3, "version"), (1, 2, 3, -1, -1, "stale"), (1, 3, 4, -1, -1, "version"), (3, 1, 1, -1, -1, "two contents at one time"), (3, 1, 1, -1, -1, "version")]
+
+
+def test_interval_plan(spark):
+    rows = [("o", "x", "observe", 1, None, 1, 0), ("o", "y", "observe", 5, None, 2, 1), ("o", "z", "cancel", None, None, 3, 2), ("o", "w", "observe", 2, None, 4, 3)]
+    df = spark.createDataFrame(rows, "own string, target string, kind string, effective_from int, effective_to int, captured_at int, idx int")
+    out = edges.plan(df, "own string, target string, valid_from int, valid_to int, cancelled_at int, outcome string", ["own"])
+    assert sorted((r.target, r.valid_from, r.valid_to, r.cancelled_at) for r in out.collect()) == [("w", 2, None, None), ("x", 1, 2, None), ("y", 5, None, 3)]
+
+
+def test_child_survives_while_a_parent_lives(spark):
+    owned = spark.createDataFrame([("a", "c"), ("b", "c"), ("a", "d"), ("d", "e")], "parent string, child string")
+    assert {r[0] for r in lifecycle.cascade(spark.createDataFrame([("a",)], "chain_id string"), owned).collect()} == {"a", "d", "e"}
+
+
+def test_ranks_come_before_visibility(spark):
+    a = spark.createDataFrame([(1, 0.9, "text"), (2, 0.8, "text"), (3, 1.0, "exact")], "key int, score double, method string")
+    out = {r.key: (round(r.score, 6), r["rank"]) for r in search.fuse([a], "key", k=1.0, visible=a.where("key <> 1")).collect()}
+    assert out == {3: (1.0, 1), 2: (0.5, 2)}
+
+
+def test_fair_selection(spark):
+    rows = [(1, "g", "a", 1), (1, "g", "b", 2), (1, "g", "c", 3), (1, "h", "a", 1), (1, "h", "d", 9)]
+    df = spark.createDataFrame(rows, "request int, grp string, item string, position int")
+    assert {r.item for r in search.fair_selection(df, "request", 3).collect()} == {"a", "b", "d"}
+
+
+def test_excerpt(spark):
+    text = "x" * 300 + "needle" + "y" * 5000
+    r = spark.createDataFrame([(text,), ("none",), ("",)], "t string").select(search.excerpt(F.col("t"), ["needle"]).alias("x")).collect()
+    assert (r[0].x.start, r[0].x.end, r[0].x.matched) == (44, 4140, True) and not r[1].x.matched and r[2].x.end == 0
+
+
+def test_paths_repeat_no_node(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("a", "c")], "source_chain string, target_chain string")
+    one = lambda x: spark.createDataFrame([(x,)], "chain_id string")
+    assert [r.path for r in graph.simple_paths(e, one("a"), one("c")).orderBy("length").collect()] == [["a", "c"], ["a", "b", "c"]]
+
+
+@pytest.mark.parametrize(("value", "expected"), [("arn:aws:iam::1:role/x", True), ("https://a.b/c", True), ("hello world", False), ("10.0.0.0/16", True), ("production", False), ("2024-01-02T10:00:00Z", True), ("vpc-0a000001", True), ("A::B::C", False), ("", False)])
+def test_identifier_shapes(spark, value, expected):
+    assert spark.createDataFrame([(value,)], "v string").select(names.identifier_shaped(F.col("v"))).first()[0] is expected
+
+
+def test_overlap_score(spark):
+    df = spark.createDataFrame([("prod-db-1", "prod-db-2"), ("abc", "abc"), ("", "x")], "a string, b string")
+    assert [round(r[0], 4) for r in df.select(names.overlap_score(F.col("a"), F.col("b"))).collect()] == [0.8889, 1.0, 0.0]
