@@ -138,7 +138,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, pattern)
         for s in parts:
-            yield pd.Series([c.decode(x.tolist()) if x is not None else b"" for x in s], dtype=object)
+            yield pd.Series([c.decode(x.tolist() if hasattr(x, "tolist") else x or []) for x in s], dtype=object)
 
     return df.withColumn(out, run(df[ids]))
 

@@ -8,7 +8,8 @@ is aligned word by word and extended at both ends.  A passage is a stretch of an
 which at least SIMILARITY of the words agree; the later document is its copy.
 
 Seeds that very many documents have are found on a sample first.  That only decides their route: their first documents are
-aggregated map-side and broadcast, so no task gathers them; all other seeds are sorted by hash.  Both routes are exact.
+aggregated map-side and broadcast (HOT_MOST at most), so no task gathers them; all other seeds are sorted by hash.  Both
+routes are exact.
 
 Null, empty and short texts have no passages.  Rows without an id are kept by :func:`clean` and otherwise ignored.  Rows of
 one id count as one document; repeats inside one document are no matches.  ``clean`` carries all columns through.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.words import Words, as_bytes, blocks
+from tessera.llm.words import Words, as_bytes, blocks, mix
 from tessera.storage import materialise
 
 KMER, WINDOW = 5, 8
@@ -55,8 +56,12 @@ def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
 
 
-def seeds(rows: DataFrame) -> DataFrame:
-    """``(h, k, pos)``: hash, document and first word of every thinned k-mer of ``(k, t)``."""
+def seeds(rows: DataFrame, only=None, firsts=None) -> DataFrame:
+    """``(g, hot, k, pos, rk, rpos)``: hash, document and first word of every thinned k-mer of ``(k, t)``.
+
+    ``only`` (a broadcast sorted array) keeps the hashes in it.  ``firsts`` (broadcast sorted hashes with their first
+    documents and places) resolves frequent seeds on the spot: they have ``rk``, and ``g`` deals them out evenly.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -65,30 +70,39 @@ def seeds(rows: DataFrame) -> DataFrame:
                 w = Words(block, lower=True)
                 at, h = w.ngrams(KMER)
                 own = thinned(h, w.doc[at])
-                at, h = at[own], h[own]
+                at, h = at[own], h[own].view(np.int64)
                 doc = w.doc[at]
-                yield pd.DataFrame({"h": h.view(np.int64), "k": ids[first + doc], "pos": (at - w.first[doc]).astype(np.int32)})
-
-    return rows.where("k is not null and t is not null").mapInPandas(run, "h long, k long, pos int")
+                out = pd.DataFrame({"g": h, "hot": False, "k": ids[first + doc], "pos": (at - w.first[doc]).astype(np.int32), "rk": np.int64(0), "rpos": np.int32(0)})
+                table = only.value if only is not None else firsts.value[0] if firsts is not None else np.zeros(0, np.int64)
+                if len(table):
+                    i = np.minimum(np.searchsorted(table, h), len(table) - 1)
+                    hit = table[i] == h
+                    if only is not None:
+                        out = out[hit]
+                    else:
+                        i = i[hit]
+                        spread = mix(ids[first + doc[hit]].view(np.uint64) + at[hit].astype(np.uint64)).view(np.int64)
+                        out.loc[hit, ["g", "hot", "rk", "rpos"]] = pd.DataFrame({"g": spread, "hot": True, "rk": firsts.value[1][i], "rpos": firsts.value[2][i]}).set_index(out.index[hit])
+                yield out
+
+    return rows.where("k is not null and t is not null").mapInPandas(run, "g long, hot boolean, k long, pos int, rk long, rpos int")
 
 
 def matches(rows: DataFrame) -> DataFrame:
     """``(k, pos, rk, rpos)``: every seed with its first occurrence (smallest id, then place) in an earlier document."""
+    spark = rows.sparkSession
     few = rows.where(F.pmod(F.xxhash64("k"), F.lit(HOT_SAMPLE)) == 0)
     n = few.count()
-    hot = seeds(few).groupBy("h").agg(F.count_distinct("k").alias("n")).where(F.col("n") >= max(8, HOT_SHARE * n))
-    hot = materialise(hot.orderBy(F.desc("n"), "h").limit(HOT_MOST).select("h"), "frequent")
-    every = seeds(rows)
-    w = W.partitionBy("h").orderBy("k", "pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    first = F.first(F.struct("k", "pos")).over(w)
-    if hot.isEmpty():
-        found = every.withColumn("f", first)
-    else:
-        every = materialise(every, "seeds")
-        rare = every.join(F.broadcast(hot), "h", "left_anti").withColumn("f", first)
-        common = every.join(F.broadcast(hot), "h")  # at most HOT_MOST rows
-        firsts = common.groupBy("h").agg(F.min(F.struct("k", "pos")).alias("f"))
-        found = rare.union(common.join(F.broadcast(firsts), "h"))
+    hot = seeds(few).groupBy("g").agg(F.count_distinct("k").alias("n")).where(F.col("n") >= max(8, HOT_SHARE * n))
+    frequent = np.array(sorted(r.g for r in hot.orderBy(F.desc("n"), "g").limit(HOT_MOST).collect()), np.int64)  # at most HOT_MOST
+    firsts = None
+    if len(frequent):
+        found = seeds(rows, only=spark.sparkContext.broadcast(frequent)).groupBy("g").agg(F.min(F.struct("k", "pos")).alias("f"))
+        found = found.orderBy("g").collect()  # one row for each frequent seed
+        firsts = spark.sparkContext.broadcast((np.array([r.g for r in found], np.int64), np.array([r.f.k for r in found], np.int64), np.array([r.f.pos for r in found], np.int32)))
+    w = W.partitionBy("g", "hot").orderBy("k", "pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    known = F.struct(F.col("rk").alias("k"), F.col("rpos").alias("pos"))
+    found = seeds(rows, firsts=firsts).withColumn("f", F.when(F.col("hot"), known).otherwise(F.first(F.struct("k", "pos")).over(w)))
     return found.where("f.k <> k").select("k", "pos", F.col("f.k").alias("rk"), F.col("f.pos").alias("rpos"))
 
 
