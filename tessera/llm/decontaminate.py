@@ -32,7 +32,7 @@ from tessera.llm.words import Words, as_bytes, blocks, mix
 #: Edit distance allowed, as a share of the item's characters.
 MAX_EDIT = 0.2
 #: Sampled places, damaged words the search is designed for, and the recall it then reaches.
-WIDTH, DAMAGE, RECALL = 3, 0.15, 0.999
+WIDTH, DAMAGE, RECALL = 3, 0.2, 0.999
 ITEMS_AT_ONCE = 5000
 _TABLE_BITS = 20
 

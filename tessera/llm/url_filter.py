@@ -101,16 +101,17 @@ def calibrate(scored: DataFrame) -> float:
     """The threshold with the largest sum of the two classes' hit rates, from ``(score, ruled, n)``; 0 without both.
 
     Scores are counted in bins of 0.01 (bounded by the range of a log ratio of smoothed probabilities), so one small
-    table is summed over; ties go to the threshold closest to zero.
+    table is summed over; a threshold lies halfway between two bins that have URLs; ties go to the one closest to zero.
     """
     bins = scored.groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(
         F.sum(F.when(F.col("ruled") == "allow", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("ruled") == "block", F.col("n")).otherwise(0)).alias("b")
     )
     below = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     whole = W.orderBy("bin").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    cut = bins.select("bin", F.coalesce(F.sum("a").over(below), F.lit(0)).alias("al"), F.coalesce(F.sum("b").over(below), F.lit(0)).alias("bl"), F.sum("a").over(whole).alias("at"), F.sum("b").over(whole).alias("bt"))
-    best = cut.where("at > 0 and bt > 0").orderBy((F.col("bl") / F.col("bt") - F.col("al") / F.col("at")).desc(), F.abs("bin"), "bin").first()
-    return best.bin / 100 if best else 0.0
+    middle = (F.col("bin") + F.coalesce(F.lag("bin").over(W.orderBy("bin")), F.col("bin"))) / 2
+    cut = bins.select("bin", middle.alias("middle"), F.coalesce(F.sum("a").over(below), F.lit(0)).alias("al"), F.coalesce(F.sum("b").over(below), F.lit(0)).alias("bl"), F.sum("a").over(whole).alias("at"), F.sum("b").over(whole).alias("bt"))
+    best = cut.where("at > 0 and bt > 0").orderBy((F.col("bl") / F.col("bt") - F.col("al") / F.col("at")).desc(), F.abs("middle"), "bin").first()
+    return best.middle / 100 if best else 0.0
 
 
 def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, order: int = ORDER) -> DataFrame:

@@ -163,7 +163,7 @@ def test_quality_features_are_brute_force_counts():
     for first, doc, bucket, value in quality.features(parts):
         for d, v in zip(doc, value, strict=True):
             got.setdefault(first + d, []).append(v)
-    assert [len(got[i]) for i in range(3)] == [9, 1, 3] and all(abs(sum(v * v for v in x) - 1) < 1e-9 for x in got.values())
+    assert [len(got[i]) for i in range(3)] == [10, 1, 3] and all(abs(sum(v * v for v in x) - 1) < 1e-9 for x in got.values())
 
 
 # 5 ---------------------------------------------------------------------------------------------------------------
