@@ -97,6 +97,14 @@ def _segments(pieces: list[tuple[int, int, bytes]]) -> tuple[int, np.ndarray]:
     return 0, np.stack([text, start, e - s, anchor[s] - s, h[anchor[s]].view(np.int64), content.view(np.int64)], 1)
 
 
+def _inserted(was: np.ndarray, old: np.ndarray, new: np.ndarray, fill) -> np.ndarray:
+    """A column with its rows moved to the places marked ``old`` and ``fill`` at the places ``new``."""
+    now = np.empty(len(old), was.dtype)
+    now[old] = was
+    now[new] = fill
+    return now
+
+
 def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """``(string, suffix length)`` of all suffixes in sorted order, by rounds of insertion into the collection's BWT.
 
@@ -121,20 +129,9 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         rank[order] = np.arange(len(bwt))
         new = m + rank[row[live]]
         total = len(bwt) + len(live)
-        fresh = np.zeros(total, bool)
-        fresh[new] = True
-        old = ~fresh
-        for name, fill in (("bwt", 256), ("owner", live), ("length", j + 1)):
-            was = {"bwt": bwt, "owner": owner, "length": length}[name]
-            now = np.empty(total, was.dtype)
-            now[old] = was
-            now[new] = fill
-            if name == "bwt":
-                bwt = now
-            elif name == "owner":
-                owner = now
-            else:
-                length = now
+        old = np.ones(total, bool)
+        old[new] = False
+        bwt, owner, length = (_inserted(was, old, new, fill) for was, fill in ((bwt, 256), (owner, live), (length, j + 1)))
         moved = np.flatnonzero(old)
         row = np.where(size > j, row, moved[row])
         row[live] = new
