@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a graph grown by NN-descent, searched greedily.
 
 Equal vectors are one node (named by its smallest id, carrying the first ids of its members), so thousands of copies are
-neither compared with each other nor crowd out other neighbours.  The graph starts from the leaves of ROUNDS_START random
+neither compared with each other nor crowd out other neighbours.  The graph starts from the leaves of TREES random
 projection trees (median cuts, sampled pivots of fixed number); each NN-descent round joins every node with the vectors of
 its neighbours and reverse neighbours, compares the neighbours with one another in numpy, and keeps each node's DEGREE
 nearest.  A query walks the graph: it starts from the nearest of PIVOTS fixed nodes, opens the nearest unopened nodes of its
@@ -24,11 +24,11 @@ from pyspark.sql import Window as W
 from tessera.storage import materialise
 
 #: Neighbours kept for a node; reverse neighbours compared with them in a round.
-DEGREE, REVERSE = 20, 20
+DEGREE, REVERSE = 30, 30
 #: Trees of the start, nodes of a leaf, NN-descent rounds at most, and the share of new neighbours that ends them.
-TREES, LEAF, ROUNDS, SETTLED = 4, 48, 4, 0.01
+TREES, LEAF, ROUNDS, SETTLED = 8, 400, 4, 0.01
 #: Start nodes of a search, nodes kept in a query's beam, nodes opened for a query in a round, rounds at most.
-PIVOTS, BEAM, OPENED, STEPS = 256, 64, 12, 14
+PIVOTS, BEAM, OPENED, STEPS = 256, 64, 24, 10
 #: Rows that a tree's cuts are fitted on, and the seed of its directions.
 FIT_ROWS, SEED = 4096, 2011
 
@@ -98,8 +98,8 @@ def _merge(pairs: DataFrame, degree: int) -> DataFrame:
     return ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("d", "other"))).alias("near"))
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(node, other, d)``: the ``degree`` nearest of every row among the rows."""
+def _nearest(ids: np.ndarray, x: np.ndarray, within: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(node, other, d)``: the ``degree`` nearest of every row among the rows, those nearer than ``within``."""
     n = len(ids)
     k = min(degree, n - 1)
     if k <= 0:
@@ -107,30 +107,33 @@ def _nearest(ids: np.ndarray, x: np.ndarray, degree: int) -> tuple[np.ndarray, n
     d = _distance(x, x)
     np.fill_diagonal(d, np.inf)
     near = np.argpartition(d, k - 1, axis=1)[:, :k]
-    return np.repeat(ids, k), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()
+    node, other, found = np.repeat(ids, k), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()
+    keep = found < np.repeat(within, k)
+    return node[keep], other[keep], found[keep]
 
 
 def _introduce(rows: DataFrame, keys: list[str], degree: int) -> DataFrame:
-    """``(node, other, d)`` from ``(keys, id, x)``: nearest neighbours inside each group of ``keys``.
+    """``(node, other, d)`` from ``(keys, id, x, within)``: nearest neighbours inside each group of ``keys``, nearer than the
+    node's ``within``.
 
     Groups are bounded (a leaf's piece, a node's neighbours); they pass one by one through sorted partitions.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def groups(last: bool) -> pd.DataFrame:
-            key, ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            key, ids, x, within = (np.concatenate(c) for c in zip(*held, strict=True))
             edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(ids)]])
             done = len(edge) - 1 if last else len(edge) - 2
-            found = [_nearest(ids[edge[i] : edge[i + 1]], x[edge[i] : edge[i + 1]], degree) for i in range(done)]
-            held[:] = [] if last else [(key[edge[-2] :], ids[edge[-2] :], x[edge[-2] :])]
+            found = [_nearest(ids[edge[i] : edge[i + 1]], x[edge[i] : edge[i + 1]], within[edge[i] : edge[i + 1]], degree) for i in range(done)]
+            held[:] = [] if last else [(key[edge[-2] :], ids[edge[-2] :], x[edge[-2] :], within[edge[-2] :])]
             node, other, d = (np.concatenate(c) for c in zip(*found, strict=True)) if found else ([], [], [])
             return pd.DataFrame({"node": np.asarray(node, np.int64), "other": np.asarray(other, np.int64), "d": np.asarray(d, np.float32)})
 
         for pdf in parts:
             if len(pdf):
-                held.append((pdf[keys].to_numpy(np.int64), pdf["id"].to_numpy(np.int64), _matrix(pdf["x"])))
+                held.append((pdf[keys].to_numpy(np.int64), pdf["id"].to_numpy(np.int64), _matrix(pdf["x"]), pdf["within"].to_numpy(np.float32)))
                 yield groups(False)
         if held:
             yield groups(True)
@@ -143,7 +146,7 @@ def _start(vectors: DataFrame, count: int, degree: int) -> DataFrame:
     coded = _leaf_codes(vectors, count)
     w = W.partitionBy("tree", "leaf").orderBy("node")
     coded = coded.withColumn("piece", F.floor((F.row_number().over(w) - 1) / F.lit(4 * LEAF)))
-    return _introduce(coded.withColumnRenamed("node", "id"), ["tree", "leaf", "piece"], degree)
+    return _introduce(coded.withColumnRenamed("node", "id").withColumn("within", F.lit(float("inf")).cast("float")), ["tree", "leaf", "piece"], degree)
 
 
 def _round(graph: DataFrame, vectors: DataFrame, degree: int, reverse: int) -> DataFrame:
@@ -152,7 +155,9 @@ def _round(graph: DataFrame, vectors: DataFrame, degree: int, reverse: int) -> D
     back = links.select(F.col("other").alias("node"), F.col("node").alias("other"), "d")
     back = back.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("d", "other"))).where(F.col("r") <= reverse).drop("r")
     met = links.union(back).select("node", "other").union(vectors.select("node", F.col("node").alias("other"))).distinct()
-    met = met.join(vectors.select(F.col("node").alias("other"), "x"), "other").select("node", F.col("other").alias("id"), "x")
+    farthest = graph.select("node", F.when(F.size("near") >= degree, F.element_at("near", -1)["d"]).alias("within"))
+    known = vectors.join(farthest, "node", "left").select(F.col("node").alias("other"), "x", F.coalesce("within", F.lit(float("inf"))).cast("float").alias("within"))
+    met = met.join(known, "other").select("node", F.col("other").alias("id"), "x", "within")
     return _introduce(met, ["node"], degree // 2)
 
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -24,16 +25,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces of text remembered by a worker with their ids; beyond it the memory starts anew.
-PIECES_KEPT = 200_000
+PIECES_KEPT = 100_000
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Tokens and ranks of a rank file."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+@lru_cache(4)
+def vocabulary(path: str) -> dict[int, bytes]:
+    """The bytes of every id: all that a decoder needs."""
+    return {i: b for b, i in read_ranks(path).items()}
 
 
 class Codec:
-    """Encoder and decoder of one rank file (lines of base64 token and rank)."""
+    """Encoder of one rank file (lines of base64 token and rank)."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
         for token in self.ranks:
@@ -105,9 +116,6 @@ class Codec:
             out += known(p) or new(p)
         return out
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
 
 @lru_cache(4)
 def codec(path: str, pattern: str) -> Codec:
@@ -124,28 +132,28 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, pattern)
         for s in parts:
-            yield pd.Series([c.encode(t) if isinstance(t, str) else [] for t in s], dtype=object)
+            yield pd.Series([np.array(c.encode(t) if isinstance(t, str) else [], np.int32) for t in s], dtype=object)
 
     return df.withColumn(ids, run(df[text]))
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the bytes that ``ids`` stand for (binary; null or no ids: empty).  An unknown id is an error."""
     if out in df.columns:
         raise ValueError(f"column {out} exists")
 
     @F.pandas_udf(T.BinaryType())
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(path, pattern)
+        bytes_of = vocabulary(path).__getitem__
         for s in parts:
-            yield pd.Series([c.decode(x.tolist() if hasattr(x, "tolist") else x or []) for x in s], dtype=object)
+            yield pd.Series([b"".join(map(bytes_of, x.tolist() if hasattr(x, "tolist") else x or [])) for x in s], dtype=object)
 
     return df.withColumn(out, run(df[ids]))
 
 
 def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, from :func:`encode` and :func:`decode`."""
-    both = decode(encode(df.select("doc_id", text), path, pattern, text), path, pattern)
+    both = decode(encode(df.select("doc_id", text), path, pattern, text), path)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -7,9 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, bpe, decontaminate, html_text, licenses, passages, quality, simhash, suffixes, url_filter
+from tessera.llm.words import bounded_batches
 from tessera.storage import table
 
 
+def _bounded(query):
+    """The query, run with small Arrow batches."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     text = html_text.extract(pages, ["page_id", "url"], html_text.fit(pages))
@@ -68,4 +79,5 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
 }
+QUERIES = {name: _bounded(query) for name, query in QUERIES.items()}
 ORACLES: dict[str, str] = {}

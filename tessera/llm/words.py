@@ -85,6 +85,11 @@ class Words:
         return at, h
 
 
+def bounded_batches(spark, rows: int = 2000) -> None:
+    """Have Arrow hand texts to Python in batches of at most ``rows``, so that a worker's memory stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def as_bytes(texts) -> list[bytes]:
     """UTF-8 of a column of texts; null is empty."""
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]

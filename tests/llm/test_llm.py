@@ -86,7 +86,7 @@ def test_bpe_equals_tiktoken(docs, texts, edges, empty):
     rng = random.Random(3)
     for _ in range(300):
         t = "".join(rng.choice("abtheingion  'sé漢\n\t1") for _ in range(rng.randint(1, 60)))
-        assert c.encode(t) == enc.encode_ordinary(t) and c.decode(c.encode(t)) == t.encode()
+        assert c.encode(t) == enc.encode_ordinary(t) and b"".join(map(bpe.vocabulary(path).get, c.encode(t))) == t.encode()
     assert bpe.digests(empty, path, P.PATTERN).count() == 0 and bpe.digests(edges, path, P.PATTERN).count() == len(EDGES)
 
 
