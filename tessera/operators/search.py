@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Query vectors that are broadcast together.
+AT_ONCE = 1000
 #: Excerpts: characters before the hit, and at most.
 BEFORE, EXCERPT = 256, 4096
 
@@ -72,14 +74,19 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, least: float = -1.0, scope: str | None = None) -> DataFrame:
     """``(query, key, score, rank)``: exact cosine top-k of each query over all vectors, optionally within a scope.
 
-    Queries are a stated set; its vectors are gathered into one row of arrays per scope and every table row meets that
-    row once, so the table is neither shuffled nor paired with itself.
+    Queries are a stated set, taken in blocks of about AT_ONCE: a block's vectors are gathered into one broadcast row of
+    arrays per scope and every table row meets that row once, so the table is neither shuffled nor paired with itself.
     """
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("q"), *([F.col(scope)] if scope else []))
-    packed = q.groupBy(*([scope] if scope else [])).agg(F.collect_list(F.struct("query", "q")).alias("asked"))
+    parts = max(1, -(-queries.count() // AT_ONCE))
     rows = vectors.select(key, vector, *([scope] if scope else []))
-    met = rows.join(F.broadcast(packed), scope) if scope else rows.join(F.broadcast(packed))
-    scored = met.select(key, F.explode(F.transform("asked", lambda x: F.struct(x["query"].alias("query"), cosine(F.col(vector), x["q"]).alias("score")))).alias("s")).select(key, "s.*")
+    scored = None
+    for part in range(parts):
+        q = queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).select(F.col(key).alias("query"), F.col(vector).alias("q"), *([F.col(scope)] if scope else []))
+        packed = F.broadcast(q.groupBy(*([scope] if scope else [])).agg(F.collect_list(F.struct("query", "q")).alias("asked")))
+        met = rows.join(packed, scope) if scope else rows.join(packed)
+        score = F.transform("asked", lambda x: F.struct(x["query"].alias("query"), cosine(F.col(vector), x["q"]).alias("score")))
+        one = met.select(key, F.explode(score).alias("s")).select(key, "s.*")
+        scored = one if scored is None else scored.union(one)
     scored = scored.where((F.col("score") >= least) & (F.col(key) != F.col("query")))
     w = W.partitionBy("query").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
