@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces of text remembered by a worker with their ids; beyond it the memory starts anew.
+#: Pieces of text remembered by a worker with their ids, in each of two generations: a full one replaces the older.
 PIECES_KEPT = 100_000
 
 
@@ -52,6 +52,7 @@ class Codec:
         self.automaton.make_automaton()
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _merged(self, data: bytes) -> list[bytes]:
         """The merges applied one by one, lowest rank first; only used on two tokens' bytes."""
@@ -102,18 +103,19 @@ class Codec:
         return out
 
     def piece(self, text: str) -> tuple[int, ...]:
-        data = text.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(self.ranks[t] for t in self._backtrack(data))
-        if len(self.pieces) > PIECES_KEPT:
-            self.pieces.clear()
+        if (ids := self.older.get(text)) is None:
+            data = text.encode("utf-8", "surrogatepass")
+            whole = self.ranks.get(data)
+            ids = (whole,) if whole is not None else tuple(self.ranks[t] for t in self._backtrack(data))
+        if len(self.pieces) >= PIECES_KEPT:
+            self.pieces, self.older = {}, self.pieces
         self.pieces[text] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        known, new, out = self.pieces.get, self.piece, []
+        out: list[int] = []
         for p in self.split(text):
-            out += known(p) or new(p)
+            out += self.pieces.get(p) or self.piece(p)
         return out
 
 
@@ -151,10 +153,26 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return df.withColumn(out, run(df[ids]))
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns with ``ids`` and ``decoded``: :func:`encode` and :func:`decode` in one pass through Python."""
+
+    @F.pandas_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c, bytes_of = codec(path, pattern), vocabulary(path).__getitem__
+        for s in parts:
+            ids, decoded = [], []
+            for t in s:
+                own = c.encode(t) if isinstance(t, str) else []
+                ids.append(np.array(own, np.int32))
+                decoded.append(b"".join(map(bytes_of, own)))
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
+
+    return df.select(*keep, run(df[text]).alias("__bpe")).select(*keep, "__bpe.*")
+
+
 def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, from :func:`encode` and :func:`decode`."""
-    both = decode(encode(df.select("doc_id", text), path, pattern, text), path)
-    return both.select(
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, from :func:`round_trip`."""
+    return round_trip(df, path, pattern, ["doc_id"], text).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of text handled together; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -65,7 +65,7 @@ class Words:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[0::2], edge[1::2]
         self.doc = np.searchsorted(self.offset, self.start, "right") - 1
-        n = 1 << max(20, int(len(self.buffer) + 1).bit_length())
+        n = 1 << max(19, int(len(self.buffer) + 1).bit_length())
         up, down = _powers(n)
         total = np.zeros(len(self.buffer) + 1, np.uint64)
         np.cumsum((self.buffer.astype(np.uint64) + np.uint64(1)) * up[: len(self.buffer)], out=total[1:])
@@ -85,7 +85,7 @@ class Words:
         return at, h
 
 
-def bounded_batches(spark, rows: int = 2000) -> None:
+def bounded_batches(spark, rows: int = 500) -> None:
     """Have Arrow hand texts to Python in batches of at most ``rows``, so that a worker's memory stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 

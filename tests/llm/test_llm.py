@@ -87,6 +87,8 @@ def test_bpe_equals_tiktoken(docs, texts, edges, empty):
     for _ in range(300):
         t = "".join(rng.choice("abtheingion  'sé漢\n\t1") for _ in range(rng.randint(1, 60)))
         assert c.encode(t) == enc.encode_ordinary(t) and b"".join(map(bpe.vocabulary(path).get, c.encode(t))) == t.encode()
+    both = bpe.decode(bpe.encode(docs.limit(5), path, P.PATTERN), path)
+    assert all(bytes(r.decoded).decode() == r.text and r.ids == enc.encode_ordinary(r.text) for r in both.collect())
     assert bpe.digests(empty, path, P.PATTERN).count() == 0 and bpe.digests(edges, path, P.PATTERN).count() == len(EDGES)
 
 
