@@ -7,9 +7,15 @@ of both (maximal score of matched words less gap costs, a Fenwick tree over plac
 is aligned word by word and extended at both ends.  A passage is a stretch of an alignment of at least MIN_WORDS words in
 which at least SIMILARITY of the words agree; the later document is its copy.
 
-Seeds that very many documents have are found on a sample first.  That only decides their route: their first documents are
-aggregated map-side and broadcast (HOT_MOST at most), so no task gathers them; all other seeds are sorted by hash.  Both
-routes are exact.
+The first documents of a passage's seeds need not have the passage: they may hold fragments of it.  So every stretch of
+MIN_WORDS words that another document may have (all its seeds are shared) is joined with the first document that has the
+whole of it, and aligned there, too, unless it lies in a passage already found.  Every exact repeat of MIN_WORDS words is
+found; the work is linear in the words.  A fuzzy repeat is found if two collinear seeds, or one whole stretch outside other
+passages, lead to an earlier document with the passage.
+
+Seeds and stretches that very many documents have are found on a sample first.  That only decides their route: their first
+documents are aggregated map-side and broadcast (HOT_MOST at most), so no task gathers them; all others are sorted by hash.
+Both routes are exact.
 
 Null, empty and short texts have no passages.  Rows without an id are kept by :func:`clean` and otherwise ignored.  Rows of
 one id count as one document; repeats inside one document are no matches.  ``clean`` carries all columns through.
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.words import Words, as_bytes, blocks, mix
+from tessera.llm.words import Words, as_bytes, blocks, mix, run_hashes
 from tessera.storage import materialise
 
 KMER, WINDOW = 5, 8
@@ -90,6 +96,11 @@ def seeds(rows: DataFrame, only=None, firsts=None) -> DataFrame:
 
 def matches(rows: DataFrame) -> DataFrame:
     """``(k, pos, rk, rpos)``: every seed with its first occurrence (smallest id, then place) in an earlier document."""
+    return _shared(rows).where("rk <> k")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """``(k, pos, rk, rpos)``: every seed that several documents have with its first occurrence, which may be itself."""
     spark = rows.sparkSession
     few = rows.where(F.pmod(F.xxhash64("k"), F.lit(HOT_SAMPLE)) == 0)
     n = few.count()
@@ -103,6 +114,37 @@ def matches(rows: DataFrame) -> DataFrame:
     w = W.partitionBy("g", "hot").orderBy("k", "pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     known = F.struct(F.col("rk").alias("k"), F.col("rpos").alias("pos"))
     found = seeds(rows, firsts=firsts).withColumn("f", F.when(F.col("hot"), known).otherwise(F.first(F.struct("k", "pos")).over(w)))
+    last = F.last("k").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    found = found.withColumn("last", last).where("hot or f.k <> last")
+    return found.select("k", "pos", F.col("f.k").alias("rk"), F.col("f.pos").alias("rpos"))
+
+
+def stretches(pos: np.ndarray, words: int) -> list[tuple[int, int]]:
+    """Ranges of first words of the stretches of MIN_WORDS words whose seeds may all be in ``pos``.
+
+    Two documents with such a stretch in common share the minimum of each of its windows, so none of the windows is
+    without a shared seed.
+    """
+    pos = np.unique(pos)
+    cut = np.flatnonzero(np.diff(pos) > WINDOW) + 1
+    inner = MIN_WORDS - KMER - WINDOW + 1  # first k-mer of the last window
+    ranges = zip(pos[np.concatenate([[0], cut])] - WINDOW + 1, pos[np.concatenate([cut, [len(pos)]]) - 1] - inner, strict=True)
+    found = [(max(0, int(a)), min(int(b), words - MIN_WORDS) + 1) for a, b in ranges]
+    return [(a, b) for a, b in found if a < b]
+
+
+def whole_matches(runs: DataFrame) -> DataFrame:
+    """``(k, pos, rk, rpos)``: every stretch of ``(k, start, words)`` (hashes of consecutive stretches) with its first
+    occurrence, where that is in an earlier document."""
+    units = runs.select("k", "start", F.posexplode("words").alias("i", "g")).select("g", "k", (F.col("start") + F.col("i")).alias("pos"))
+    sampled = F.pmod(F.xxhash64("k"), F.lit(HOT_SAMPLE)) == 0
+    n = runs.where(sampled).select("k").distinct().count()
+    hot = units.where(sampled).groupBy("g").agg(F.count_distinct("k").alias("n")).where(F.col("n") >= max(8, HOT_SHARE * n))
+    hot = F.broadcast(materialise(hot.orderBy(F.desc("n"), "g").limit(HOT_MOST).select("g"), "hot"))  # at most HOT_MOST
+    first = units.join(hot, "g", "left_semi").groupBy("g").agg(F.min(F.struct("k", "pos")).alias("f"))
+    w = W.partitionBy("g").orderBy("k", "pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rest = units.join(hot, "g", "left_anti").withColumn("f", F.first(F.struct("k", "pos")).over(w))
+    found = units.join(F.broadcast(first), "g").unionByName(rest)
     return found.where("f.k <> k").select("k", "pos", F.col("f.k").alias("rk"), F.col("f.pos").alias("rpos"))
 
 
@@ -241,25 +283,67 @@ def passages(a: np.ndarray, b: np.ndarray, at: tuple[int, int], least: int = MIN
     return out
 
 
+def _request(k: int, rk: int, at: tuple[int, int], first: int, last: int, size: int = 0) -> tuple[int, int, int, int, int, int, int]:
+    """``size`` is that of a whole stretch with ``at`` in its middle, and 0 for a chain."""
+    return k, at[0], rk, at[1], max(0, (first - MARGIN) // 16 * 16), (last + MARGIN + 15) // 16 * 16, size
+
+
+REQUEST = "k long, d0 int, rk long, r0 int, lo int, hi int, size int"
+
+
 def _chained(rows: DataFrame) -> DataFrame:
-    """``(k, d0, rk, r0, lo, hi)``: a matched place of each chain and the stretch of the earlier document to align with."""
-    pairs = matches(rows).groupBy("k", "rk").agg(F.collect_list(F.struct("pos", "rpos")).alias("m")).where(F.size("m") >= MIN_SEEDS)
+    """``(k, d0, rk, r0, lo, hi, size, start, words)``: a matched place of each chain and the stretch of the earlier document to
+    align with (``words`` is null), or hashes of stretches from word ``start`` on that other documents may have."""
+    linked = _shared(rows).groupBy("k").agg(F.collect_list(F.struct("pos", "rk", "rpos")).alias("m")).where(F.size("m") >= MIN_SEEDS)
+    linked = rows.where("t is not null").join(linked, "k").select("k", "t", *[F.col(f"m.{c}").alias(c) for c in ("pos", "rk", "rpos")])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for k, t, pos, rk, rpos in zip(pdf["k"], as_bytes(pdf["t"]), pdf["pos"], pdf["rk"], pdf["rpos"], strict=True):
+                order = np.argsort(rk, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(rk[order])) + 1):
+                    if len(own) >= MIN_SEEDS and rk[own[0]] != k:
+                        for chain in chains(list(zip(pos[own].tolist(), rpos[own].tolist(), strict=True))):
+                            out.append((*_request(k, int(rk[own[0]]), chain[len(chain) // 2], chain[0][1], chain[-1][1] + KMER), -1, None))
+                if len(pos) >= MIN_WORDS // WINDOW - 1:
+                    w = Words([t], lower=True)
+                    for a, b in stretches(pos, len(w.hash)):
+                        out.append((k, 0, 0, 0, 0, 0, 0, a, run_hashes(w.hash[a : b + MIN_WORDS - 1], MIN_WORDS).view(np.int64)))
+            yield pd.DataFrame(out, columns=["k", "d0", "rk", "r0", "lo", "hi", "size", "start", "words"])
+
+    return linked.mapInPandas(run, REQUEST + ", start int, words array<long>")
+
+
+def _wholes(chained: DataFrame, runs: DataFrame) -> DataFrame:
+    """``(k, d0, rk, r0, lo, hi, size)`` of whole stretches in an earlier document that no chain is aligned in."""
+    have = chained.select("k", F.col("d0").alias("pos"), "rk", F.col("r0").alias("rpos"), F.lit(True).alias("chain"))
+    links = whole_matches(runs).withColumn("chain", F.lit(False)).unionByName(have)
+    links = links.groupBy("k", "rk").agg(F.collect_list(F.struct("pos", "rpos", "chain")).alias("m")).where(F.exists("m", lambda x: ~x["chain"]))
+    links = links.select("k", "rk", *[F.col(f"m.{c}").alias(c) for c in ("pos", "rpos", "chain")])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
-            for k, rk, m in zip(pdf["k"], pdf["rk"], pdf["m"], strict=True):
-                for chain in chains([(x["pos"], x["rpos"]) for x in m]):
-                    d0, r0 = chain[len(chain) // 2]
-                    out.append((k, d0, rk, r0, max(0, (chain[0][1] - MARGIN) // 16 * 16), (chain[-1][1] + KMER + MARGIN + 15) // 16 * 16))
-            yield pd.DataFrame(out, columns=["k", "d0", "rk", "r0", "lo", "hi"])
+            for k, rk, pos, rpos, chain in zip(pdf["k"], pdf["rk"], pdf["pos"], pdf["rpos"], pdf["chain"], strict=True):
+                chain = chain.astype(bool)
+                aligned = list(zip(pos[chain].tolist(), (pos - rpos)[chain].tolist(), strict=True))
+                pos, side = pos[~chain], (pos - rpos)[~chain]
+                order = np.lexsort((pos, side))
+                for own in np.split(order, np.flatnonzero((np.diff(side[order]) != 0) | (np.diff(pos[order]) > 1)) + 1):
+                    a, b, d = int(pos[own[0]]), int(pos[own[-1]]) + MIN_WORDS, int(side[own[0]])
+                    if not any(a <= p < b and d == q for p, q in aligned):
+                        out.append(_request(k, rk, ((a + b) // 2, (a + b) // 2 - d), a - d, b - d, b - a))
+            yield pd.DataFrame(out, columns=["k", "d0", "rk", "r0", "lo", "hi", "size"])
 
-    return pairs.mapInPandas(run, "k long, d0 int, rk long, r0 int, lo int, hi int")
+    return links.mapInPandas(run, REQUEST)
 
 
 def _requests(rows: DataFrame) -> DataFrame:
     """``(k, chains)``: each document's chains with the word hashes of the earlier stretches."""
-    found = materialise(_chained(rows), "chains")
+    linked = materialise(_chained(rows), "links")
+    chained = linked.where("words is null").drop("start", "words")
+    found = materialise(chained.unionByName(_wholes(chained, linked.where("words is not null").select("k", "start", "words"))).distinct(), "chains")
     wanted = found.select("rk", "lo", "hi").distinct().groupBy("rk").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
     earlier = rows.withColumnRenamed("k", "rk").join(wanted, "rk").dropDuplicates(["rk"])
 
@@ -271,16 +355,19 @@ def _requests(rows: DataFrame) -> DataFrame:
                 out += [(rk, x["lo"], x["hi"], h[x["lo"] : x["hi"]]) for x in wanted]
             yield pd.DataFrame(out, columns=["rk", "lo", "hi", "words"])
 
-    stretches = earlier.mapInPandas(cut, "rk long, lo int, hi int, words array<int>")
-    return found.join(stretches, ["rk", "lo", "hi"]).groupBy("k").agg(F.collect_list(F.struct("d0", "rk", "r0", "lo", "words")).alias("chains"))
+    asked = earlier.mapInPandas(cut, "rk long, lo int, hi int, words array<int>")
+    return found.join(asked, ["rk", "lo", "hi"]).groupBy("k").agg(F.collect_list(F.struct("d0", "rk", "r0", "lo", "size", "words")).alias("chains"))
 
 
 def _resolve(text: bytes, asked) -> tuple[Words, list[tuple[int, int, int, int, int, float]]]:
-    """Passages of one document, longest alignments first, without those inside a longer one."""
+    """Passages of one document, without those inside a longer one; whole stretches that chains left out, longest first."""
     w = Words([text], lower=True)
     own = (w.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
     found: set[tuple[int, int, int, int, int, float]] = set()
-    for x in asked:
+    for x in sorted(asked, key=lambda x: (x["size"] > 0, -x["size"], x["d0"], x["rk"], x["r0"])):
+        a = x["d0"] - x["size"] // 2
+        if x["size"] and any(p[0] <= a and a + x["size"] <= p[1] for p in found):
+            continue
         for s, e, rs, re, sim in passages(own, np.asarray(x["words"], np.int32), (x["d0"], x["r0"] - x["lo"])):
             found.add((s, e, x["rk"], rs + x["lo"], re + x["lo"], sim))
     out: list[tuple[int, int, int, int, int, float]] = []

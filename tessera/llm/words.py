@@ -85,6 +85,14 @@ class Words:
         return at, h
 
 
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of ``n`` of the word hashes ``h``, linear in the words; independent of where ``h`` starts."""
+    up, down = _powers(1 << max(19, (len(h) + 1).bit_length()))
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+    return mix((total[n:] - total[:-n]) * down[: len(h) - n + 1])
+
+
 def bounded_batches(spark, rows: int = 500) -> None:
     """Have Arrow hand texts to Python in batches of at most ``rows``, so that a worker's memory stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -341,6 +341,32 @@ def test_frequent_seeds_take_the_other_route(docs, monkeypatch):
     assert {tuple(r) for r in passages.matches(passages._rows(docs, "doc_id", "text")).collect()} == want
 
 
+def test_passage_whose_seeds_are_first_seen_in_fragments(spark):
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    rows, want = [], {}
+    for n in range(40):
+        size = (50, 53, 60, 70)[n % 4]
+        passage, cut, k = words(size), size // 2, 10 * n
+        holder = passage[: size - 3] if n % 3 == 0 else passage[:cut]  # one document short of the passage, or two halves
+        rows += [(k + 1, words(20) + holder + words(15)), (k + 2, words(9) + passage[cut:] + words(8))]
+        rows += [(k + 3, words(30) + passage + words(5)), (k + 4, words(12) + passage + words(7))]
+        want[k + 4] = (12, 12 + size)
+    found = {}
+    for r in passages.find(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    assert all(any(a <= s and e <= b for a, b in found.get(k, [])) for k, (s, e) in want.items())
+
+
+def test_frequent_stretches_take_the_other_route(docs, monkeypatch):
+    runs = passages._chained(passages._rows(docs, "doc_id", "text")).where("words is not null").select("k", "start", "words")
+    want = {tuple(r) for r in passages.whole_matches(runs).collect()}
+    assert want
+    monkeypatch.setattr(passages, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(passages, "HOT_SHARE", 0.0)
+    assert {tuple(r) for r in passages.whole_matches(runs).collect()} == want
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 def test_increasing_is_longest():
     from itertools import combinations
