@@ -250,11 +250,39 @@ def align(a: np.ndarray, b: np.ndarray, skip: int = SKIP) -> list[tuple[int, int
         i, j = i + step[0], j + step[1]
 
 
+def longest(runs: list[tuple[int, int, int, int]], lo: int, hi: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """``(s, e)`` of the stretch ``runs[s:e]`` inside ``lo`` to ``hi`` with the most words whose sum of (1 - similarity) *
+    equal - similarity * skipped words is not negative; ``(lo, lo)`` if there are no runs.
+
+    A stretch's sum is ``after[its last run] - before[its first run]``.  Only starts whose ``before`` is below all earlier
+    ones can be best, and going back from the last end, a start met once is met by no earlier end with more words.
+    """
+    before, after, total = [], [], 0.0
+    for n in range(lo, hi):
+        if n > lo:
+            total -= similarity * max(runs[n][0] - runs[n - 1][0] - runs[n - 1][2], runs[n][1] - runs[n - 1][1] - runs[n - 1][2])
+        before.append(total)
+        total += (1 - similarity) * runs[n][2]
+        after.append(total)
+    starts: list[int] = []
+    for i, x in enumerate(before):
+        if not starts or x < before[starts[-1]]:
+            starts.append(i)
+    best, found = 0, (lo, lo)
+    for i in range(len(after) - 1, -1, -1):
+        while starts and after[i] - before[starts[-1]] >= -1e-9:
+            n = starts.pop()
+            size = runs[lo + i][0] + runs[lo + i][2] - runs[lo + n][0]
+            if n <= i and size > best:
+                best, found = size, (lo + n, lo + i + 1)
+    return found
+
+
 def passages(a: np.ndarray, b: np.ndarray, at: tuple[int, int], least: int = MIN_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
     """``(start, end, start in b, end in b, similarity)`` of passages around the matched place ``at``.
 
-    Runs to both sides of ``at`` are aligned; the stretch with the largest sum of (1 - similarity) * equal - similarity *
-    skipped words agrees in at least that share, and the rest on both sides is searched in turn.
+    Runs to both sides of ``at`` are aligned; the longest stretch whose sum of (1 - similarity) * equal - similarity *
+    skipped words is not negative agrees in at least that share, and the rest on both sides is searched in turn.
     """
     i, j = at
     right = [(i + x, j + y, n, m) for x, y, n, m in align(a[i:], b[j:])]
@@ -263,22 +291,12 @@ def passages(a: np.ndarray, b: np.ndarray, at: tuple[int, int], least: int = MIN
     out, todo = [], [(0, len(runs))]
     while todo:
         lo, hi = todo.pop()
-        best, start, total = (0.0, lo, lo), lo, 0.0
-        for n in range(lo, hi):
-            if n > start:
-                gap = max(runs[n][0] - runs[n - 1][0] - runs[n - 1][2], runs[n][1] - runs[n - 1][1] - runs[n - 1][2])
-                total -= similarity * gap
-            if total < 0 or n == start:
-                start, total = n, 0.0
-            total += (1 - similarity) * runs[n][2]
-            best = max(best, (total, start, n + 1))
-        s, e = best[1:]
+        s, e = longest(runs, lo, hi, similarity)
         if s < e:
             first, last = runs[s], runs[e - 1]
             size = max(last[0] + last[2] - first[0], last[1] + last[2] - first[1])
             if last[0] + last[2] - first[0] >= least:
                 out.append((first[0], last[0] + last[2], first[1], last[1] + last[2], sum(r[2] for r in runs[s:e]) / size))
-            if hi - lo > e - s:
                 todo += [(lo, s), (e, hi)]
     return out
 

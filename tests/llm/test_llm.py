@@ -358,6 +358,29 @@ def test_passage_whose_seeds_are_first_seen_in_fragments(spark):
     assert all(any(a <= s and e <= b for a, b in found.get(k, [])) for k, (s, e) in want.items())
 
 
+def test_longest_stretch_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(400):
+        runs, i, j = [], 0, 0
+        for _ in range(rng.randrange(1, 12)):
+            n = rng.choice([1, 3, 5, 10, 20, 40])
+            runs.append((i, j, n, 0))
+            i, j = i + n + rng.randrange(13), j + n + rng.randrange(13)
+        gaps = [max(b[0] - a[0] - a[2], b[1] - a[1] - a[2]) for a, b in zip(runs, runs[1:], strict=False)]
+        size = lambda s, e: runs[e - 1][0] + runs[e - 1][2] - runs[s][0]
+        fits = lambda s, e: sum(r[2] for r in runs[s:e]) >= 4 * sum(gaps[s : e - 1])
+        assert size(*passages.longest(runs, 0, len(runs))) == max(size(s, e) for s in range(len(runs)) for e in range(s + 1, len(runs) + 1) if fits(s, e))
+
+
+def test_passages_with_a_replaced_phrase():
+    for left, gap, right in ((10, 4, 41), (15, 5, 40), (45, 12, 49), (41, 4, 10), (20, 4, 31)):
+        a = np.arange(left + gap + right)
+        b = a.copy()
+        b[left : left + gap] += 1000
+        at = 0 if left > right else left + gap + right // 2
+        assert [(s, e) for s, e, *_ in passages.passages(a, b, (at, at))] == [(0, len(a))]
+
+
 def test_frequent_stretches_take_the_other_route(docs, monkeypatch):
     runs = passages._chained(passages._rows(docs, "doc_id", "text")).where("words is not null").select("k", "start", "words")
     want = {tuple(r) for r in passages.whole_matches(runs).collect()}
