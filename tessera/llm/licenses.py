@@ -125,9 +125,13 @@ class Scanner:
                     i, j = a + kept[0][0], a + kept[-1][0]
                     found.append((share, i, j))
                     todo += [(a, i), (j + 1, b)]
-                elif b - a > 2 * size:
+                elif b - a > 4 * size:
                     half = (a + b) // 2
-                    todo += [(a, half + size), (half - size, b)] if b - a > 4 * size else [(k, min(k + size + size // 2, b)) for k in range(a, b - size // 2, max(1, size // 2))]
+                    todo += [(a, half + size), (half - size, b)]
+                elif b - a > size:
+                    width = size + size // 2 if b - a > size + size // 2 else size
+                    step = max(1, (width - size) // 2) if width > size else 1
+                    todo += [(k, min(k + width, b)) for k in range(a, b - width + step, step)]
             taken: list[tuple[int, int]] = []
             for share, i, j in sorted(found, key=lambda x: (-x[0], x[1])):
                 if all(j < p or i > q for p, q in taken):

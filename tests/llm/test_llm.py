@@ -415,6 +415,14 @@ def test_license_scan(docs, texts, edges, empty):
     assert licenses.matches(edges).count() == 0 and licenses.matches(empty).count() == 0
 
 
+def test_repeated_notices():
+    for name, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            for n in (2, 3, 4, 5):
+                got = licenses.scan("\n".join([notice] * n), {name: (notice,)})
+                assert [(s, c) for _, c, s, _ in got] == [(k * (len(notice) + 1), 1.0) for k in range(n)], (name, n)
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 def slow_fit(pattern, text):
     row = list(range(len(pattern) + 1))
