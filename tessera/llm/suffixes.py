@@ -10,15 +10,17 @@ document is cut into segments first, and the same string always falls into segme
 100-byte window is assigned to the leftmost smallest of its 32-byte grams, its anchor, by hash, and windows that follow one
 another with the same anchor are one segment (at most 168 bytes).  Equal windows have equal anchors at equal offsets, so
 they meet under the anchor's hash and nothing is lost.  Equal segments are one string for the transform: all but the first
-in document order are copies, which already follows.  A transform works on a batch of at most BATCH strings in memory, so
-its columns need no external files.
+in document order are copies, which already follows.  Any 100-byte window holds its anchor with 34 more bytes on at least
+one side, so only segments that share those 66 bytes with another one are compared at all.  A transform works on a batch of
+at most BATCH strings in memory, so its columns need no external files.
 
-Anchors with more than GROUP different segments are handled window by window instead, aggregated map-side, so no anchor
-gathers in a task.
+Equal segments of one batch of texts are found before anything is shuffled.  Anchors that a share of the documents has (found
+on a sample, which only decides their route) and those with more than GROUP different segments are handled window by window
+instead, aggregated map-side, so no anchor gathers in a task.
 
-Texts are UTF-8 bytes; null is empty.  Documents shorter than LENGTH lose nothing.  Rows with equal ids are one document
-in the order (their texts are judged as if equal ids were equal documents); every row is returned.  Rows with a null id
-come first in the order.
+Texts are UTF-8 bytes; null is empty.  Documents shorter than LENGTH lose nothing.  Rows that share an id are ordered by the
+hash of their text, as if their ids followed one another; rows with equal id and equal text are one document, and each of them
+is returned with its bytes removed.  Rows with a null id come first in the order.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ from tessera.storage import materialise
 LENGTH, GRAM = 100, 32
 #: Strings of a transform; different segments of an anchor beyond which its windows are aggregated.
 BATCH, GROUP = 8192, 4096
+#: Sampled share of documents (one in) and share of them that makes an anchor frequent; frequent anchors broadcast at most.
+HOT_SAMPLE, HOT_SHARE, HOT_MOST = 64, 0.05, 50_000
+#: Bytes beside an anchor that a window has on its fuller side.
+_BESIDE = (LENGTH - GRAM) // 2
 _BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _NULL = -(1 << 63)  # stands for a null id in the order
@@ -51,8 +57,11 @@ def _windows_min(v: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (n - size)], v[n - size :]) if size < n else v
 
 
-def segments(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-    """For blocks of texts ``(first text, rows)``: rows are (text, start, length, anchor offset, anchor hash, content hash)."""
+def segments(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """For blocks of texts, rows of (text, start, length, anchor offset, anchor hash, content hash, left, right).
+
+    ``left`` and ``right`` are hashes of the anchor with _BESIDE bytes on that side, or of the content where they lack.
+    """
     pieces: list[tuple[int, int, bytes]] = []
     size = 0
     for n, t in enumerate(texts):
@@ -68,7 +77,7 @@ def segments(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
         yield _segments(pieces)
 
 
-def _segments(pieces: list[tuple[int, int, bytes]]) -> tuple[int, np.ndarray]:
+def _segments(pieces: list[tuple[int, int, bytes]]) -> np.ndarray:
     data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
     sizes = np.array([len(p[2]) for p in pieces])
     end = np.cumsum(sizes)
@@ -91,18 +100,23 @@ def _segments(pieces: list[tuple[int, int, bytes]]) -> tuple[int, np.ndarray]:
     down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(data), np.uint64(pow(_BASE, -1, 1 << 64)))]))
     total = np.concatenate([[np.uint64(0)], np.cumsum(symbol * up[:-1])])
     content = mix((total[e] - total[s]) * down[s])
+    a = anchor[s]
+    has_left, has_right = a - s >= _BESIDE, e - a >= GRAM + _BESIDE
+    x, y = np.where(has_left, a - _BESIDE, s), np.where(has_right, a + GRAM + _BESIDE, e)
+    left = np.where(has_left, mix((total[a + GRAM] - total[x]) * down[x]), content)
+    right = np.where(has_right, mix((total[y] - total[a]) * down[a]), content)
     at = piece[s]
     start = s - (end - sizes)[at] + np.array([p[1] for p in pieces])[at]
     text = np.array([p[0] for p in pieces])[at]
-    return 0, np.stack([text, start, e - s, anchor[s] - s, h[anchor[s]].view(np.int64), content.view(np.int64)], 1)
+    short = [v.astype(np.uint32).view(np.int32).astype(np.int64) for v in (left, right)]
+    return np.stack([text, start, e - s, a - s, h[a].view(np.int64), content.view(np.int64), *short], 1)
 
 
-def _inserted(was: np.ndarray, old: np.ndarray, new: np.ndarray, fill) -> np.ndarray:
-    """A column with its rows moved to the places marked ``old`` and ``fill`` at the places ``new``."""
-    now = np.empty(len(old), was.dtype)
-    now[old] = was
-    now[new] = fill
-    return now
+def _ranks(bwt: np.ndarray) -> np.ndarray:
+    """For each row the number of rows with a smaller symbol, or an equal one further up."""
+    rank = np.empty(len(bwt), np.int64)
+    rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+    return rank
 
 
 def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +124,8 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     Row r of the transform holds the symbol before row r's suffix, or 256 while it is not known (the string's front).
     A filled symbol stands for the suffix it starts, so the row of a new suffix is the number of filled symbols that are
-    smaller, or equal and above it, after the empty suffixes.
+    smaller, or equal and above it, after the empty suffixes.  Only the symbols move; at the end each string is read off
+    the transform from its empty suffix on.
     """
     m = len(strings)
     size = np.fromiter(map(len, strings), np.int64, m)
@@ -119,22 +134,24 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for n, s in enumerate(strings):
         right[: len(s), n] = np.frombuffer(s, np.uint8)[::-1]
     bwt = np.full(m, 256, np.int16)
-    owner, length = np.arange(m, dtype=np.int32), np.zeros(m, np.int16)
     row = np.arange(m)
     for j in range(longest):
         live = np.flatnonzero(size > j)
         bwt[row[live]] = right[j, live]
-        order = np.argsort(bwt, kind="stable")  # 256 last
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
-        new = m + rank[row[live]]
-        total = len(bwt) + len(live)
-        old = np.ones(total, bool)
-        old[new] = False
-        bwt, owner, length = (_inserted(was, old, new, fill) for was, fill in ((bwt, 256), (owner, live), (length, j + 1)))
-        moved = np.flatnonzero(old)
-        row = np.where(size > j, row, moved[row])
-        row[live] = new
+        row[live] = m + _ranks(bwt)[row[live]]
+        grown = np.full(len(bwt) + len(live), 256, np.int16)
+        old = np.ones(len(grown), bool)
+        old[row[live]] = False
+        grown[old] = bwt
+        bwt = grown
+    rank = m + _ranks(bwt)
+    owner, length = np.empty(len(bwt), np.int32), np.empty(len(bwt), np.int16)
+    at, live = np.arange(m), np.arange(m)
+    for j in range(longest + 1):
+        owner[at], length[at] = live, j
+        more = size[live] > j
+        live = live[more]
+        at = rank[at[more]]
     return owner, length
 
 
@@ -170,8 +187,8 @@ def common_prefixes(strings: list[bytes], owner: np.ndarray, length: np.ndarray,
     return out
 
 
-def repeats(strings: list[bytes], order: np.ndarray, start: np.ndarray) -> list[tuple[int, int]]:
-    """``(string, offset)`` of every LENGTH-byte window that also starts earlier, by ``(order, start + offset)``."""
+def repeats(strings: list[bytes], order: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(strings, offsets)`` of every LENGTH-byte window that also starts earlier, by ``(order, start + offset)``."""
     owner, length = suffix_order(strings)
     prefix = common_prefixes(strings, owner, length, LENGTH)
     long = length >= LENGTH
@@ -183,98 +200,152 @@ def repeats(strings: list[bytes], order: np.ndarray, start: np.ndarray) -> list[
     key = np.lexsort((start[own] + offset, order[own], group[rows]))
     g = group[rows][key]
     later = np.concatenate([[False], g[1:] == g[:-1]])
-    return list(zip(own[key][later].tolist(), offset[key][later].tolist(), strict=True))
+    return own[key][later], offset[key][later].astype(np.int64)
+
+
+def _merged(k: np.ndarray, v: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same bytes as few runs: rows of one document that touch or overlap are one."""
+    by = np.lexsort((s, v, k))
+    k, v, s, e = k[by], v[by], s[by], e[by]
+    doc = np.cumsum(np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])) if len(k) else np.zeros(0, np.int64)
+    span = int(e.max(initial=0)) + 1
+    reach = np.maximum.accumulate(e + doc * span)  # documents do not reach into one another
+    opens = np.flatnonzero(np.concatenate([[True], s[1:] + doc[1:] * span > reach[:-1]])) if len(k) else doc
+    closes = np.concatenate([opens[1:], [len(k)]])[: len(opens)] - 1
+    return k[opens], v[opens], s[opens], reach[closes] - doc[closes] * span
+
 
+#: A segment: anchor, content, left and right hash, document (id and hash of the text), start, length, and its route:
+#: 0 the first of its content so far, 1 bytes to remove, 2 of a frequent anchor.
+_COLUMNS = ["h", "c", "l", "r", "k", "v", "s", "n", "route"]
+_SEGMENT = "h long, c long, l int, r int, k long, v long, s int, n int, route byte"
 
-def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Byte runs covered by windows at the sorted ``starts``."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > LENGTH)
-    return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), (starts[np.concatenate([cut, [len(starts) - 1]])] + LENGTH).tolist(), strict=True))
 
+def _frame(columns: list[np.ndarray]) -> pd.DataFrame:
+    types = {"l": np.int32, "r": np.int32, "s": np.int32, "n": np.int32, "route": np.int8}
+    return pd.DataFrame({c: x.astype(types.get(c, np.int64)) for c, x in zip(_COLUMNS, columns, strict=True)})
 
-_SEGMENT = "g long, h long, c long, k long, s long, n int, o int, copy boolean"
 
+def _as_removed(k: np.ndarray, v: np.ndarray, s: np.ndarray, e: np.ndarray) -> pd.DataFrame:
+    k, v, s, e = _merged(k, v, s, e)
+    none = np.zeros(len(k), np.int64)
+    return _frame([none, none, none, none, k, v, s, e - s, none + 1])
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """Segments of ``(k, t)``; those equal to an earlier one of the same batch are copies and are dealt by document."""
+
+def _cut(rows: DataFrame, hot=None) -> DataFrame:
+    """Segments of ``(k, v, t)``; those equal to an earlier one of the same batch are bytes to remove.
+
+    ``hot`` is a broadcast sorted array of frequent anchors.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent = hot.value if hot is not None else np.zeros(0, np.int64)
         for pdf in parts:
-            ids = pdf["k"].to_numpy(np.int64)
-            got = [r for _, r in segments(as_bytes(pdf["t"]))]
+            ids, hashes = pdf["k"].to_numpy(np.int64), pdf["v"].to_numpy(np.int64)
+            got = list(segments(as_bytes(pdf["t"])))
             if not got:
                 continue
             r = np.concatenate(got)
-            out = pd.DataFrame({"g": r[:, 4], "h": r[:, 4], "c": r[:, 5], "k": ids[r[:, 0]], "s": r[:, 1], "n": r[:, 2].astype(np.int32), "o": r[:, 3].astype(np.int32)})
-            out = out.iloc[np.lexsort((out["s"], out["k"], out["c"], out["h"]))]
-            v = out[["h", "c", "n", "o", "k", "s"]].to_numpy(np.int64)
-            same = np.concatenate([np.zeros((1, 6), bool), v[1:] == v[:-1]])
+            k, v, s, n, o, h, c = ids[r[:, 0]], hashes[r[:, 0]], *(r[:, i] for i in range(1, 6))
+            by = np.lexsort((s, v, k, c, h))
+            key = np.stack([h, c, n, o, k, v, s], 1)[by]
+            same = np.concatenate([np.zeros((1, 7), bool), key[1:] == key[:-1]])
             copy, again = same[:, :4].all(axis=1), same.all(axis=1)
-            out = out.assign(copy=copy, g=np.where(copy, mix(np.ascontiguousarray(v[:, 4]).view(np.uint64)).view(np.int64), v[:, 0]))
-            yield out[~again]
+            gone = by[copy & ~again]
+            if len(gone):
+                yield _as_removed(k[gone], v[gone], s[gone], s[gone] + n[gone])
+            own = by[~copy]
+            at = np.minimum(np.searchsorted(frequent, h[own]), max(0, len(frequent) - 1))
+            often = frequent[at] == h[own] if len(frequent) else np.zeros(len(own), bool)
+            yield _frame([h[own], c[own], r[own, 6], r[own, 7], k[own], v[own], s[own], n[own], 2 * often])
 
     return rows.mapInPandas(run, _SEGMENT)
 
 
+def _shares(h: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Rows whose anchor and side hash another row has too."""
+    key = mix(h.view(np.uint64) + np.uint64(_BASE) * side.view(np.uint64))
+    by = np.argsort(key)
+    same = key[by][1:] == key[by][:-1]
+    out = np.zeros(len(h), bool)
+    out[by[1:][same]] = out[by[:-1][same]] = True
+    return out
+
+
 def _sift(cut: DataFrame) -> DataFrame:
-    """Copies, and the first of each segment whose anchor has several; others go.  One streaming pass over sorted rows."""
+    """Bytes to remove, and the first of each segment that may share a window with another; others go.
+
+    One streaming pass over sorted rows.  Rows are held until their anchor is complete, GROUP of them at most: a larger
+    anchor's are all passed on.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None  # the last row so far, if it was the first segment of its anchor
-        tail = None  # the last row's key
+        held = np.zeros((0, 8), np.int64)  # first segments of the anchor that the last row has
+        passing = False  # whether that anchor was found too large to hold
+        tail: np.ndarray | None = None  # the last row
+
+        def sifted(rows: np.ndarray) -> pd.DataFrame:
+            met = np.concatenate([[False], rows[1:, 0] == rows[:-1, 0]]) if len(rows) else np.zeros(0, bool)
+            rows = rows[met | np.concatenate([met[1:], [False]])] if len(rows) else rows
+            rows = rows[_shares(rows[:, 0].copy(), rows[:, 2].copy()) | _shares(rows[:, 0].copy(), rows[:, 3].copy())]
+            return _frame([*rows.T, np.zeros(len(rows), np.int64)])
+
         for pdf in parts:
-            done, pdf = pdf[pdf["copy"]], pdf[~pdf["copy"]]
-            if len(pdf):
-                key = pdf[["h", "c", "n", "o", "k", "s"]].to_numpy(np.int64)
-                before = np.concatenate([[key[0] if tail is None else tail], key[:-1]])
-                known = np.concatenate([[tail is not None], np.ones(len(key) - 1, bool)])
-                same_h = known & (key[:, 0] == before[:, 0])
-                copy = known & (key[:, :4] == before[:, :4]).all(axis=1)
-                again = known & (key == before).all(axis=1)  # the same place of a repeated row
-                tail = key[-1]
-                pdf = pdf.assign(copy=copy)
-                opens = ~copy & ~same_h  # first segment of an anchor: needed only if another follows
-                second = ~copy & same_h
-                anchor = np.cumsum(~same_h) - 1 + bool(same_h[0])
-                needed = np.zeros(anchor[-1] + 1, bool)
-                needed[anchor[second]] = True
-                keep = (copy & ~again) | second | (opens & needed[anchor])
-                out = [done, pdf[keep]]
-                if held is not None and same_h[0] and needed[0]:
-                    out.append(held)
-                last = np.flatnonzero(opens & (anchor == anchor[-1]))
-                if len(last):
-                    held = None if needed[-1] else pdf.iloc[last]
-                elif needed[-1]:
-                    held = None
-                yield pd.concat(out)
-            else:
-                yield done
-
-    return cut.repartition("g").sortWithinPartitions("h", "c", "k", "s").mapInPandas(run, _SEGMENT)
+            dealt = pdf["route"].to_numpy() != 0
+            if dealt.any():
+                yield pdf[dealt]
+                pdf = pdf[~dealt]
+            if not len(pdf):
+                continue
+            rows = pdf[_COLUMNS[:8]].to_numpy(np.int64)
+            before = np.concatenate([rows[:1] if tail is None else tail[None], rows[:-1]])
+            same = rows == before
+            if tail is None:
+                same[0] = False
+            copy = same[:, :2].all(axis=1) & same[:, 7]
+            again = copy & same[:, 4:7].all(axis=1)  # the same place of a repeated row
+            tail = rows[-1]
+            gone = rows[copy & ~again]
+            if len(gone):
+                yield _as_removed(gone[:, 4], gone[:, 5], gone[:, 6], gone[:, 6] + gone[:, 7])
+            own = rows[~copy]
+            if passing:
+                more = own[:, 0] == before[0, 0]
+                yield _frame([*own[more].T, np.zeros(int(more.sum()), np.int64)])
+                own = own[~more]
+                passing = bool(tail[0] == before[0, 0])
+            own = np.concatenate([held, own])
+            whole = own[:, 0] != tail[0]
+            held = own[~whole]
+            yield sifted(own[whole])
+            if len(held) > GROUP:
+                yield _frame([*held.T, np.zeros(len(held), np.int64)])
+                held, passing = held[:0], True
+        yield sifted(held)
+
+    dealt_by = F.when(F.col("route") == 0, F.col("h")).otherwise(F.xxhash64("k", "s"))
+    return cut.repartition(dealt_by).sortWithinPartitions("h", "c", "k", "v", "s").mapInPandas(run, _SEGMENT)
 
 
 def _bytes_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(h, k, s, n, o, many, b)``: the bytes of wanted segments, fetched by one join by document."""
-    asked = wanted.groupBy("k").agg(F.collect_list(F.struct("h", "s", "n", "o", "many")).alias("asked"))
+    """``(h, k, v, s, n, many, b)``: the bytes of wanted segments, fetched by one join by document."""
+    asked = wanted.groupBy("k", "v").agg(F.collect_list(F.struct("h", "s", "n", "many")).alias("asked"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = [
-                (x["h"], k, x["s"], x["n"], x["o"], x["many"], b)
-                for k, t, asked in zip(pdf["k"], as_bytes(pdf["t"]), pdf["asked"], strict=True)
+                (x["h"], k, v, x["s"], x["n"], x["many"], b)
+                for k, v, t, asked in zip(pdf["k"], pdf["v"], as_bytes(pdf["t"]), pdf["asked"], strict=True)
                 for x in asked
                 if len(b := t[x["s"] : x["s"] + x["n"]]) == x["n"]
             ]
-            yield pd.DataFrame(out, columns=["h", "k", "s", "n", "o", "many", "b"])
+            yield pd.DataFrame(out, columns=["h", "k", "v", "s", "n", "many", "b"])
 
-    return rows.join(asked, "k").mapInPandas(run, "h long, k long, s long, n int, o int, many boolean, b binary")
+    return rows.join(asked, ["k", "v"]).mapInPandas(run, "h long, k long, v long, s int, n int, many boolean, b binary")
 
 
 def _by_transform(found: DataFrame) -> DataFrame:
-    """``(k, s, e)``: repeated runs of segments whose anchors meet in a task, batch by batch."""
+    """``(k, v, s, e)``: repeated runs of segments whose anchors meet in a task, batch by batch."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -287,15 +358,14 @@ def _by_transform(found: DataFrame) -> DataFrame:
             upto = len(h) if last else int(np.flatnonzero(h != h[-1])[-1] + 1) if (h != h[-1]).any() else 0
             held[:] = [rows.iloc[upto:]]
             count = len(h) - upto
-            rows = rows.iloc[:upto].drop_duplicates(["h", "k", "s"])
-            out: list[tuple[int, int, int]] = []
-            if upto:
-                k, s = rows["k"].to_numpy(np.int64), rows["s"].to_numpy(np.int64)
-                got: dict[int, list[int]] = {}
-                for n, o in repeats(list(rows["b"]), k, s):
-                    got.setdefault(n, []).append(int(s[n]) + o)
-                out = [(int(k[n]), a, e) for n, starts in got.items() for a, e in _runs(np.unique(starts))]
-            return pd.DataFrame(out, columns=["k", "s", "e"], dtype=np.int64)
+            rows = rows.iloc[:upto].drop_duplicates(["h", "k", "v", "s"])
+            k, v, s = (rows[c].to_numpy(np.int64) for c in ("k", "v", "s"))
+            doc = np.empty(len(k), np.int64)  # place of the document in the order
+            by = np.lexsort((v, k))
+            doc[by] = np.cumsum(np.concatenate([[0], (k[by][1:] != k[by][:-1]) | (v[by][1:] != v[by][:-1])])[: len(k)])
+            n, o = repeats(list(rows["b"]), doc, s)
+            k, v, s, e = _merged(k[n], v[n], s[n] + o, s[n] + o + LENGTH)
+            return pd.DataFrame({"k": k, "v": v, "s": s.astype(np.int32), "e": e.astype(np.int32)})
 
         for pdf in parts:
             for at in range(0, len(pdf), BATCH):
@@ -306,55 +376,69 @@ def _by_transform(found: DataFrame) -> DataFrame:
         if count:
             yield solve(True)
 
-    return found.repartition("h").sortWithinPartitions("h").mapInPandas(run, "k long, s long, e long")
+    return found.repartition("h").sortWithinPartitions("h").mapInPandas(run, "k long, v long, s int, e int")
 
 
 def _by_windows(found: DataFrame) -> DataFrame:
-    """``(k, s, e)`` of the windows that are not the first with their bytes."""
-    one = found.select("k", F.col("s").alias("s0"), "b", F.explode(F.sequence(F.lit(0), F.col("n") - LENGTH)).alias("i"))
-    one = one.select("k", (F.col("s0") + F.col("i")).alias("s"), F.sha2(F.expr(f"substring(b, i + 1, {LENGTH})"), 256).alias("w"))
+    """``(k, v, s, e)`` of the windows that are not the first with their bytes."""
+    one = found.select("k", "v", F.col("s").alias("s0"), "b", F.explode(F.sequence(F.lit(0), F.col("n") - LENGTH)).alias("i"))
+    one = one.select("k", "v", (F.col("s0") + F.col("i")).alias("s"), F.sha2(F.expr(f"substring(b, i + 1, {LENGTH})"), 256).alias("w"))
     one = materialise(one, "windows")
-    first = one.groupBy("w").agg(F.min(F.struct("k", "s")).alias("f"))
-    return one.join(first, "w").where((F.col("f.k") != F.col("k")) | (F.col("f.s") != F.col("s"))).select("k", "s", (F.col("s") + LENGTH).alias("e"))
+    first = one.groupBy("w").agg(F.min(F.struct("k", "v", "s")).alias("f"))
+    return one.join(first, "w").where(F.col("f") != F.struct("k", "v", "s")).select("k", "v", "s", (F.col("s") + LENGTH).alias("e"))
+
+
+def _frequent(rows: DataFrame) -> np.ndarray:
+    """Sorted anchors that at least HOT_SHARE of the sampled documents have; HOT_MOST at most."""
+    few = rows.where(F.pmod(F.xxhash64("k", "v"), F.lit(HOT_SAMPLE)) == 0)
+    seen = _cut(few).where("route = 0").groupBy("h").agg(F.count_distinct("k", "v").alias("n"))
+    found = seen.where(F.col("n") >= max(8.0, HOT_SHARE * few.count())).orderBy(F.desc("n"), "h").limit(HOT_MOST)
+    return np.array(sorted(r.h for r in found.collect()), np.int64)  # at most HOT_MOST
 
 
 def spans(rows: DataFrame) -> DataFrame:
-    """``(k, s, e)``: byte runs (possibly overlapping) that together are all bytes to remove, from ``(k, t)``."""
-    sifted = materialise(_sift(_cut(rows)), "segments")
-    copies = sifted.where("copy").select("k", "s", (F.col("s") + F.col("n")).alias("e"))
-    firsts = sifted.where("not copy")
+    """``(k, v, s, e)``: byte runs (possibly overlapping) that together are all bytes to remove, from ``(k, v, t)``."""
+    hot = _frequent(rows)
+    sifted = materialise(_sift(_cut(rows, rows.sparkSession.sparkContext.broadcast(hot) if len(hot) else None)), "segments")
+    gone = sifted.where("route = 1").select("k", "v", "s", (F.col("s") + F.col("n")).alias("e"))
+    firsts = sifted.where("route = 0")
     many = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > GROUP).select("h", F.lit(True).alias("many"))
     wanted = firsts.join(many, "h", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    wanted = wanted.unionByName(sifted.where("route = 2").withColumn("many", F.lit(True)))
     found = materialise(_bytes_of(rows, wanted), "strings")
-    out = copies.union(_by_transform(found.where("not many").select("h", "k", "s", "b")))
+    out = gone.union(_by_transform(found.where("not many").select("h", "k", "v", "s", "b")))
     big = found.where("many")
     return out if big.isEmpty() else out.union(_by_windows(big))
 
 
 def removed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every row."""
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("k"), F.col(text).alias("t"))
-    cuts = spans(rows).groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
+    rows = df.select(
+        F.col(key).cast("long").alias("id"),
+        F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("k"),
+        F.xxhash64(F.col(key).isNull(), text).alias("v"),
+        F.col(text).alias("t"),
+    )
+    cuts = spans(rows.drop("id")).groupBy("k", "v").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
-            for k, t, cuts in zip(pdf["k"], as_bytes(pdf["t"]), pdf["cuts"], strict=True):
-                kept, at, n, gone = [], 0, 0, 0
-                last = -1
-                for s, e in sorted((x["s"], min(x["e"], len(t))) for x in (cuts if cuts is not None else ())):
-                    if e <= at and n:
-                        continue
-                    if not n or s > last:
-                        kept.append(t[at:s])
-                        n += 1
-                        gone += e - s
-                    else:
-                        gone += e - last
-                    at = last = e
-                kept.append(t[at:])
-                out.append((None if k == _NULL else k, len(t), gone, n, hashlib.sha256(b"".join(kept)).hexdigest()))
-            yield pd.DataFrame(out, columns=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"k": "Int64"})
-
-    joined = rows.join(cuts, "k", "left")
-    return joined.mapInPandas(run, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("k", key)
+            for t, cuts in zip(as_bytes(pdf["t"]), pdf["cuts"], strict=True):
+                if cuts is None or not len(cuts):
+                    out.append((len(t), 0, 0, hashlib.sha256(t).hexdigest()))
+                    continue
+                s, e = (np.fromiter((x[c] for x in cuts), np.int64, len(cuts)) for c in ("s", "e"))
+                one = np.zeros(len(s), np.int64)
+                _, _, s, e = _merged(one, one, s, e)
+                kept = hashlib.sha256()
+                for a, b in zip([0, *e.tolist()], [*s.tolist(), len(t)], strict=True):
+                    kept.update(t[a:b])
+                out.append((len(t), int((e - s).sum()), len(s), kept.hexdigest()))
+            done = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield done.assign(id=pdf["id"].array)
+
+    joined = rows.join(cuts, ["k", "v"], "left").select("id", "t", "cuts")
+    return joined.mapInPandas(run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, id long").select(
+        F.col("id").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )

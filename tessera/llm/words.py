@@ -93,8 +93,10 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix((total[n:] - total[:-n]) * down[: len(h) - n + 1])
 
 
-def bounded_batches(spark, rows: int = 500) -> None:
-    """Have Arrow hand texts to Python in batches of at most ``rows``, so that a worker's memory stays small."""
+def bounded_batches(spark, size: int = 1 << 22, rows: int = 10_000) -> None:
+    """Have Arrow hand rows to Python in batches of about ``size`` bytes and at most ``rows`` rows, so that a worker's
+    memory stays small.  Both are settings of the session, read when a query runs, so they are left as they are set here."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 

@@ -281,6 +281,31 @@ def test_suffix_edges(spark, edges, empty):
     assert suffixes.removed(edges).count() == len(EDGES) and suffixes.removed(empty).count() == 0
 
 
+def test_suffix_dedup_of_repeated_and_null_ids(spark, monkeypatch):
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    d, q, unrelated = text(240), text(30), text(400)
+    rows = [(1, d), (2, q + d), (2, unrelated), (None, text(50) + unrelated[100:350]), (None, text(300)), (2, q + d), (3, unrelated), (3, unrelated)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    place = {(r.doc_id, r.text): r.v for r in df.select("doc_id", "text", F.xxhash64(F.col("doc_id").isNull(), "text").alias("v")).collect()}
+    order = sorted(place, key=lambda x: (-(1 << 63) if x[0] is None else x[0], place[x]))
+    want = slow_removed({n: t for n, (_, t) in enumerate(order)})
+    for share in (0.05, 0.0):  # the second: every anchor takes the route of frequent ones
+        monkeypatch.setattr(suffixes, "HOT_SHARE", share)
+        monkeypatch.setattr(suffixes, "HOT_SAMPLE", 64 if share else 1)
+        got = sorted(((r.doc_id or 0, *tuple(r)[1:]) for r in suffixes.removed(df).collect()))
+        assert got == sorted((rows_id or 0, *want[order.index((rows_id, t))]) for rows_id, t in rows)
+    assert want[order.index((2, unrelated))][1] == 250  # what the row without an id has, nothing of its namesake's
+
+
+def test_frequent_anchors_take_the_other_route(docs, texts, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(suffixes, "HOT_SHARE", 0.04)
+    assert len(suffixes._frequent(docs.select(F.col("doc_id").alias("k"), F.lit(0).cast("long").alias("v"), F.col("text").alias("t"))))
+    want = slow_removed(texts)
+    assert all(tuple(r)[1:] == want[r.doc_id] for r in suffixes.removed(docs).collect())
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 def test_chains_equal_quadratic_search():
     rng = random.Random(2)
