@@ -448,6 +448,38 @@ def test_repeated_notices():
                 assert [(s, c) for _, c, s, _ in got] == [(k * (len(notice) + 1), 1.0) for k in range(n)], (name, n)
 
 
+def slow_common(a, b):
+    """Length of a longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_damaged_notices():
+    rng = random.Random(13)
+    met = n = 0
+    for name, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            words = notice.split()
+            for share in (0.02, 0.05, 0.1, 0.15, 0.18):
+                for way in range(4):
+                    now = [(w if rng.random() >= share else ("zebra", "the", w + " of", "")[way]) for w in words]
+                    text = " ".join(["some words of the text before"] + now + ["and of the text after it"])
+                    plain = licenses._WORD.findall(" ".join(now).lower())
+                    common = slow_common(plain, licenses._WORD.findall(notice.lower())) / len(licenses._WORD.findall(notice.lower()))
+                    got = [c for x, c, _, _ in licenses.scan(text, {name: (notice,)})]
+                    assert all(c <= common + 0.05 for c in got)
+                    if common >= 0.82:
+                        n += 1
+                        met += bool(got)
+                    if common < 0.75:
+                        assert not got
+    assert n > 150 and met >= 0.98 * n
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 def slow_fit(pattern, text):
     row = list(range(len(pattern) + 1))
