@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,69 +37,83 @@ def slot(entity_type: Column, path: Column) -> Column:
     return F.concat_ws(".", entity_type, plain_path(path))
 
 
+#: Shapes of one identifier without white space.
+_SHAPES = {
+    "mail": r"@",
+    "uri": r"^[A-Za-z]{2,12}:(//|[^:].*[:/]|/)",
+    "host and port": r"^(localhost|[^:]*\.[^:]*):\d+$",
+    "host of four labels": r"^([A-Za-z0-9-]+\.){3,}[A-Za-z]+$",
+    "uuid": r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
+    "ipv4": r"^\d{1,3}(\.\d{1,3}){3}(/\d*)?$",
+    "ipv6": r"(?i)^(?!.*::.*::)[0-9a-f]{0,4}(:[0-9a-f]{0,4}){2,}([%/].*)?$",
+    "mac": r"(?i)^([0-9a-f]{2}:){5}[0-9a-f]{2}$|^([0-9a-f]{2}-){5}[0-9a-f]{2}$",
+    "digest": r"(?i)^[0-9a-f]{16,}$",
+    "token in one case": r"^(?=.*\d)([A-Z0-9]{16,}|[a-z0-9]{16,})$",
+    "base64": r"^(?=.*[A-Z])(?=.*[a-z])(?=.*[+/=])[A-Za-z0-9+/=._]{20,}$",
+    "prefix and digits": r"(?i)^[a-z][a-z0-9]*-(?=[0-9a-f]*\d)[0-9a-f]{6,}$",
+}
+_DATE = r"^\d{4}-\d{2}-\d{2}($|[Tt ])"
+
+
+def _one_identifier(v: Column) -> Column:
+    out = F.lit(False)
+    for shape in _SHAPES.values():
+        out = out | v.rlike(shape)
+    size, digits = F.length(v), F.length(F.regexp_replace(v, "[^0-9]", ""))
+    dense = v.rlike("^[A-Za-z0-9]{8,}$") & (digits * 2 > size)
+    dense = dense | v.rlike("^[A-Za-z0-9]{12,}$") & v.rlike("[A-Za-z]") & (digits * 5 >= size * 2)
+    dense = dense | v.rlike("^[A-Za-z0-9]{16,}$") & (digits * 4 >= size)
+    return out | dense | v.rlike(r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/=._]{20,}$") & (digits * 4 >= size) | v.rlike(_DATE)
+
+
 def identifier_shaped(text: Column) -> Column:
-    """Whether a string looks like an identifier rather than words: URI, host and port, mail, UUID, address, digest, date."""
+    """Whether a string looks like an identifier rather than words: an address, digest, token, date, or a list of such."""
     v = F.trim(text)
-    shapes = [
-        r"^\d{4}-\d{2}-\d{2}([Tt ].*)?$",
-        r"^\S*@\S*$",
-        r"^[A-Za-z]{2,12}:(//|[^:\s][^\s]*[:/])\S*$",
-        r"^(localhost|[^:\s]*\.[^:\s]*):\d+$",
-        r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-        r"^\d{1,3}(\.\d{1,3}){3}(/\d{1,2})?$",
-        r"(?i)^([0-9a-f]{2}[:-]){5}[0-9a-f]{2}$",
-        r"(?i)^(?=.*\d)[0-9a-f]{16,}$",
-        r"(?i)^[a-z][a-z0-9]*-(?=[0-9a-f]*\d)[0-9a-f]{6,}$",
-    ]
-    out = F.lit(False)
-    for s in shapes:
-        out = out | v.rlike(s)
-    digits = F.length(F.regexp_replace(v, r"\D", ""))
-    opaque = v.rlike(r"^[A-Za-z0-9]{8,}$") & (digits * 2 > F.length(v)) | v.rlike(r"^[A-Za-z0-9]{12,}$") & v.rlike("[A-Za-z]") & (digits * 5 >= F.length(v) * 2)
-    return F.coalesce((v != "") & (out | opaque), F.lit(False))
-
-
-def _letters(name: str) -> str:
-    return "".join(c for c in name if c.isalnum()).lower()
-
-
-def _key_name(name: str) -> str:
-    for tail in ("Identifier", "_identifier", "-identifier"):
-        if name.endswith(tail):
-            return _letters(name[: -len(tail)]) + "id"
-    return "id" if name.lower() == "identifier" else _letters(name)
-
-
-def names_reference(location: str, target_type: str, keys: list[str]) -> bool:
-    """Whether a payload place names a target: its field or an object around it is the type, or its field is a key's name
-    or ends in one at a word boundary.  The generic names id, name, arn and uid need the type before them."""
-    types = {_letters(target_type), _letters(target_type.replace(":", ".").split(".")[-1])} - {""}
-    fields = [part.split("[")[0] for part in location.split(".")]
-    if any(_letters(f) in types for f in fields[:-1]):
-        return True
-    field = fields[-1]
-    one = field[:-1] if field.endswith("s") else field
-    if types & {_letters(field), _letters(one)}:
-        return True
-    for key in filter(None, (_key_name(k.split(".")[-1]) for k in keys)):
-        if key in (_key_name(field), _key_name(one)):
-            return True
-        starts = [i for i, c in enumerate(one) if c.isalnum() and _key_name(one[i:]) == key]
-        if starts and starts[0]:
-            before, at = one[starts[0] - 1], one[starts[0]]
-            if (not before.isalnum() or before.islower() and at.isupper()) and (key not in ("id", "name", "arn", "uid") or _letters(one[: starts[0]]) in types):
-                return True
-    return False
+    parts = F.filter(F.split(v, "[,;]"), lambda x: x != "")
+    several = v.rlike("[,;]") & (F.size(parts) > 0) & F.forall(parts, _one_identifier)
+    return F.coalesce((v != "") & (v.rlike(_DATE) | ~v.rlike(r"\s") & (_one_identifier(v) | several)), F.lit(False))
 
 
-def structural_reference(location: Column, target_type: Column, keys: Column) -> Column:
-    """:func:`names_reference` for columns; meant for distinct (location, type, keys) rows only."""
+#: Key names that say nothing without the type before them, in letters alone.
+GENERIC_KEYS = ("id", "name", "arn", "uid")
+
 
-    @F.pandas_udf("boolean")
-    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([names_reference(x, y, list(z)) for x, y, z in zip(a, b, c, strict=True)])
+def name_words(name: Column) -> Column:
+    """The lower-case words of a field name: runs of letters and digits, cut where a small letter meets a capital one."""
+    cut = F.regexp_replace(name, r"(?<=\p{Ll})(?=\p{Lu})", " ")
+    return F.filter(F.split(F.lower(cut), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
-    return run(location, target_type, keys)
+
+def _joined(words: Column) -> Column:
+    return F.array_join(words, "")
+
+
+def _key_words(name: Column) -> Column:
+    """Words of a field or key name in which a last word Identifier reads Id."""
+    return name_words(F.regexp_replace(name, "^(?i:identifier)$|Identifier$|[_-]identifier$", "Id"))
+
+
+def structural_reference(location: Column, target_type: Column, keys: Column) -> Column:
+    """Whether a payload place names a target: its field or an object around it is the type, or the field's words end in
+    those of a key.  Keys of GENERIC_KEYS alone need the type before them.
+
+    A qualified type (a.b, a::b) also goes by its last part; a trailing s of the field may be left out.
+    """
+    fields = F.transform(F.split(location, r"\."), lambda p: F.substring_index(p, "[", 1))
+    field = F.element_at(fields, -1)
+    singular = F.regexp_replace(field, "s$", "")
+    types = F.filter(F.array(_joined(name_words(target_type)), _joined(name_words(F.regexp_extract(target_type, r"[^:.]*$", 0)))), lambda t: t != "")
+    named = F.array_append(F.slice(fields, 1, F.greatest(F.size(fields) - 1, F.lit(0))), field)
+    by_type = F.exists(F.array_append(named, singular), lambda f: F.array_contains(types, _joined(name_words(f))))
+    wanted = F.filter(F.transform(keys, lambda k: _joined(_key_words(F.substring_index(k, ".", -1)))), lambda k: k != "")
+    words = _key_words(singular)
+    tails = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))),
+        lambda i: F.struct(_joined(F.slice(words, i, F.size(words))).alias("tail"), _joined(F.slice(words, 1, i - 1)).alias("head")),
+    )
+    ends = lambda k: F.exists(tails, lambda t: (t["tail"] == k) & ((t["head"] == "") | ~k.isin(*GENERIC_KEYS) | F.array_contains(types, t["head"])))
+    by_key = F.exists(wanted, lambda k: (_joined(_key_words(field)) == k) | ends(k))
+    return F.coalesce(by_type | by_key, F.lit(False))
 
 
 def transform_value(value: Column, fold: bool = False, prefix: str = "", suffix: str = "") -> Column:
@@ -111,9 +127,18 @@ def transform_value(value: Column, fold: bool = False, prefix: str = "", suffix:
 
 
 def overlap_score(a: Column, b: Column) -> Column:
-    """Shared prefix and suffix over the longer length, never counting a character twice."""
-    def shared(x: Column, y: Column) -> Column:
-        n = F.least(F.length(x), F.length(y))
-        return F.aggregate(F.sequence(F.lit(0), n), F.lit(0), lambda s, i: F.when((s == i - 1) & (i > 0) & (F.substr(x, i, F.lit(1)) == F.substr(y, i, F.lit(1))), i).otherwise(s))
-    both = F.least(shared(a, b) + shared(F.reverse(a), F.reverse(b)), F.length(a), F.length(b))
-    return both / F.greatest(F.length(a), F.length(b), F.lit(1))
+    """Shared prefix and suffix in bytes of UTF-8 over the longer length, never counting a byte twice; null beside a null."""
+
+    @F.pandas_udf("double")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            if not isinstance(x, str) or not isinstance(y, str):
+                out.append(None)
+                continue
+            pair = (x.encode("utf-8", "surrogatepass"), y.encode("utf-8", "surrogatepass"))
+            both = len(commonprefix(pair)) + len(commonprefix([v[::-1] for v in pair]))
+            out.append(min(both, *map(len, pair)) / max(1, *map(len, pair)))
+        return pd.Series(out, dtype=float)
+
+    return run(a, b)
