@@ -1,17 +1,19 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts are sequences of symbols, one for each word and the word after it (A-Z lower-cased).  The CGK embedding walks a
-sequence with random bits: at step j it writes the symbol under its pointer and advances if the j-th random function of
+Texts are sequences of white-space words (A-Z lower-cased), and a document matches an item if some part of it is within an
+edit distance of MAX_EDIT of the item's words.  The CGK embedding walks a sequence of symbols, one for each two neighbouring
+words, with random bits: at step j it writes the symbol under its pointer and advances if the j-th random function of
 that symbol says so.  Edit distance between two sequences becomes Hamming distance between their embeddings.  A repetition
-samples WIDTH places of the embedding; a window of a document is a candidate for an item if all sampled symbols are equal.
+samples up to WIDTH places of the embedding, fewer for short items; a window of a document is a candidate for an item if all
+sampled symbols are equal.
 
 Every repetition starts its walk at its own relative offset of the item and window, so that a window is any word position
 minus that offset and all windows of all sizes are met in one pass: the first sampled symbol is looked up for every
 position of every document, and a walk goes on only where the partial key is still that of some item.  Nothing that shares
-a bucket is left out by this.  The number of repetitions follows from the target recall and the share of damaged words.
+a bucket is left out by this.  The number of repetitions follows from the target recall and the distance allowed.
 
-Candidates are verified: the edit distance in characters between the item and its best fitting part of the widened window
-must be at most MAX_EDIT of the item's length.  Items are taken in blocks of ITEMS_AT_ONCE, each broadcast.
+Candidates are verified: the best fitting part of the widened window is found exactly.  Items of one word (also those of a
+script without spaces) are looked up as they are.  Items are taken in blocks of ITEMS_AT_ONCE, each broadcast.
 
 Null or blank documents and items match nothing.  Repeated items are looked up once and reported under each id; documents
 with equal ids are reported apart.
@@ -20,7 +22,7 @@ with equal ids are reported apart.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,33 +31,38 @@ from pyspark.sql import functions as F
 
 from tessera.llm.words import Words, as_bytes, blocks, mix
 
-#: Edit distance allowed, as a share of the item's characters.
+#: Edit distance allowed, as a share of the item's words.
 MAX_EDIT = 0.2
-#: Sampled places, damaged words the search is designed for, and the recall it then reaches.
-WIDTH, DAMAGE, RECALL = 3, 0.2, 0.999
+#: Sampled places at most, an item's words for each of them after the first, and the recall that the search is made for.
+WIDTH, WORDS_A_PLACE, RECALL = 3, 12, 0.999
 ITEMS_AT_ONCE = 5000
-_TABLE_BITS = 20
+_TABLE_BITS = 22
 
 
-def repetitions(width: int = WIDTH, damage: float = DAMAGE, recall: float = RECALL) -> int:
+def repetitions(width: int = WIDTH, damage: float = MAX_EDIT, recall: float = RECALL) -> int:
     """Walks needed: one survives if both words of its sampled symbols and one more are undamaged."""
     return math.ceil(math.log(1 - recall) / math.log(1 - (1 - damage) ** (2 * width + 1)))
 
 
 def symbols(w: Words) -> np.ndarray:
-    """A hash for each word and the word after it in the same text."""
-    after = np.ones(len(w.hash), np.uint64)
-    if len(after) > 1:
-        after[:-1] = np.where(w.doc[1:] == w.doc[:-1], w.hash[1:], np.uint64(1))
+    """A hash for each word and the word after it in the same text; the last word of a text has none of meaning."""
+    after = np.zeros(len(w.hash), np.uint64)
+    after[:-1] = w.hash[1:]
     return mix(w.hash * np.uint64(0x9FB21C651E98DF25) + after)
 
 
+def _start(offset: float, pairs: int, width: int) -> int:
+    """Where a walk begins in an item: anywhere if one place is sampled, else so that the walk has room."""
+    room = pairs if width == 1 or pairs < WORDS_A_PLACE else max(1, pairs - 3 * width)
+    return int(offset * room)
+
+
 class _Walk:
     """One repetition: relative offset, random functions, sampled steps (the first is 0)."""
 
     def __init__(self, number: int, total: int, width: int):
         r = np.random.default_rng([2016, number])
-        self.offset = (number + 0.5) / total * 0.75
+        self.offset = (number + 0.5) / total
         self.steps = 4 * np.arange(width) + np.concatenate([[0], r.integers(0, 4, width - 1)])
         self.seeds = r.integers(1, 1 << 63, int(self.steps[-1]) + 1, dtype=np.uint64) | np.uint64(1)
 
@@ -73,17 +80,24 @@ class Items:
             if clean := " ".join(normal(t).split()):
                 by_text.setdefault(clean, []).append(i)
         self.texts, self.ids = list(by_text), list(by_text.values())
-        words = [symbols(Words([t.encode("utf-8", "surrogatepass")])) for t in self.texts]
+        words = [Words([t.encode("utf-8", "surrogatepass")]) for t in self.texts]
+        self.words = [w.hash.tolist() for w in words]
+        alone = sorted((h[0], n) for n, h in enumerate(self.words) if len(h) == 1)
+        self.alone = np.array([h for h, _ in alone], np.uint64), np.array([n for _, n in alone], np.int64)
+        pairs = [symbols(w)[:-1] for w in words]
         self.walks = [_Walk(n, total, width) for n in range(total)]
         self.keys: list[list[np.ndarray]] = []
         self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.first = np.zeros(1 << _TABLE_BITS, bool)  # first sampled symbols of any walk
         for walk in self.walks:
             grown, full = [[] for _ in walk.steps], []
-            for n, h in enumerate(words):
-                start = int(walk.offset * len(h))
+            for n, h in enumerate(pairs):
+                if not len(h):
+                    continue
+                start = _start(walk.offset, len(h), width)
+                most = min(width, 1 + len(h) // WORDS_A_PLACE)
                 at, key, k = np.array([start]), np.zeros(1, np.uint64), 0
-                for step in range(int(walk.steps[-1]) + 1):
+                for step in range(int(walk.steps[most - 1]) + 1):
                     if at[0] >= len(h):
                         break
                     if step == walk.steps[k]:
@@ -101,8 +115,13 @@ class Items:
         """Distinct ``(text, item, first word of the window)`` of a block of texts; the window may begin before the text."""
         found: list[np.ndarray] = []
         own = symbols(w)
+        hit = np.flatnonzero(np.isin(w.hash, self.alone[0]))
+        for n in range(int(np.unique(self.alone[0], return_counts=True)[1].max(initial=0))):
+            row = np.searchsorted(self.alone[0], w.hash[hit]) + n
+            same = (row < len(self.alone[0])) & (self.alone[0][np.minimum(row, len(self.alone[0]) - 1)] == w.hash[hit])
+            found.append(np.stack([w.doc[hit[same]], self.alone[1][row[same]], hit[same]], 1))
         opening = np.flatnonzero(self.first[mix(own) >> np.uint64(64 - _TABLE_BITS)])
-        last = w.first[w.doc + 1] if len(w.doc) else np.zeros(0, np.int64)
+        last = w.first[w.doc + 1] - 1 if len(w.doc) else np.zeros(0, np.int64)  # the last word has no pair
         for walk, keys, rows in zip(self.walks, self.keys, self.rows, strict=True):
             begin, at, key, k = opening, opening, np.zeros(len(opening), np.uint64), 0
             for step in range(int(walk.steps[-1]) + 1):
@@ -135,7 +154,7 @@ class Items:
         """``(text, item, first word, end)``: candidates widened by the edits allowed; overlapping ones are one window."""
         held: list[int] | None = None
         for d, n, at in self.candidates(w):
-            size = self.texts[n].count(" ") + 1
+            size = len(self.words[n])
             slack = 2 + int(size * max_edit) + size // 4
             lo, hi = max(at - slack, int(w.first[d])), min(at + size + slack, int(w.first[d + 1]))
             if lo >= hi:
@@ -158,13 +177,13 @@ def normal(text: str) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def best_fit(pattern: str, text: str, most: int) -> tuple[int, int] | None:
+def best_fit(pattern: Sequence, text: Sequence, most: int) -> tuple[int, int] | None:
     """``(edit distance, end)`` of the part of ``text`` closest to ``pattern``, if at most ``most``; the first such end.
 
     Exact: columns of the dynamic program are bit vectors (Myers, 1999) with free ends in ``text``.
     """
     m = len(pattern)
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, c in enumerate(pattern):
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -183,10 +202,10 @@ def best_fit(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
-def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", max_edit: float = MAX_EDIT, width: int = WIDTH, damage: float = DAMAGE, recall: float = RECALL) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", max_edit: float = MAX_EDIT, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
     """``(doc_id, item_id, edit, start, end)``: for each document and item the best passage within the allowed distance.
 
-    ``start`` and ``end`` are offsets in the document's words joined by single spaces.  ``items`` has item_id and text;
+    ``edit`` counts words.  ``start`` and ``end`` are offsets in the document's words joined by single spaces.  ``items`` has item_id and text;
     its size is counted, and beyond ITEMS_AT_ONCE it is dealt into blocks by a hash of the text.
     """
     spark = docs.sparkSession
@@ -197,7 +216,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     found = None
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item_id").collect()
-        shared = spark.sparkContext.broadcast(Items([r.item_id for r in own], [r.text for r in own], width, repetitions(width, damage, recall)))
+        shared = spark.sparkContext.broadcast(Items([r.item_id for r in own], [r.text for r in own], width, repetitions(width, max_edit, recall)))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             bench = shared.value
@@ -208,17 +227,16 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
                     w = Words(block, lower=True)
                     best: dict[tuple[int, int], tuple[int, int, int]] = {}
                     for d, n, lo, hi in bench.windows(w, max_edit):
-                        item = bench.texts[n]
-                        before = len(b" ".join(_words(w, int(w.first[d]), lo)).decode("utf-8", "surrogatepass"))
-                        before += before > 0
-                        window = b" ".join(_words(w, lo, hi)).decode("utf-8", "surrogatepass")
-                        if fit := best_fit(item, window, int(max_edit * len(item))):
-                            end = before + fit[1]
+                        item, window = bench.words[n], w.hash[lo:hi].tolist()
+                        if fit := best_fit(item, window, int(max_edit * len(item) + 1e-9)):
                             back = best_fit(item[::-1], window[: fit[1]][::-1], fit[0])
-                            now = (fit[0], end - back[1], end)
+                            now = (fit[0], lo + fit[1] - back[1], lo + fit[1])
                             if (d, n) not in best or now < best[d, n]:
                                 best[d, n] = now
-                    for (d, n), (edit, start, end) in best.items():
+                    for (d, n), (edit, a, b) in best.items():
+                        start = len(b" ".join(_words(w, int(w.first[d]), a)).decode("utf-8", "surrogatepass"))
+                        start += start > 0
+                        end = start + len(b" ".join(_words(w, a, b)).decode("utf-8", "surrogatepass"))
                         out += [(pdf["k"].iloc[first + d], i, edit, start, end) for i in bench.ids[n]]
                 yield pd.DataFrame(out, columns=["k", "item_id", "edit", "start", "end"])
 

@@ -510,27 +510,32 @@ def test_decontamination_finds_all_verbatim(spark, sf, docs, texts, edges, empty
     assert want <= {(r.doc_id, r.item_id) for r in out}
     bench = {r.item_id: flat(r.text) for r in items.collect()}
     for r in out:
-        piece = flat(texts[r.doc_id])[r.start : r.end]
-        assert slow_fit(bench[r.item_id], piece)[0] == r.edit <= 0.2 * len(bench[r.item_id])
+        piece, item = flat(texts[r.doc_id])[r.start : r.end].split(" "), bench[r.item_id].split(" ")
+        assert slow_fit(item, piece)[0] == r.edit <= 0.2 * len(item)
     assert decontaminate.matches(edges, items).count() == 0 and decontaminate.matches(empty, items).count() == 0 and decontaminate.matches(docs, items.limit(0)).count() == 0
 
 
-def test_decontamination_recall(spark, monkeypatch):
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.1, 0.15, 0.2])
+def test_decontamination_recall(spark, monkeypatch, share):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefghijk", k=rng.randint(2, 8)))
-    items = [(i, " ".join(word() for _ in range(rng.randint(15, 60)))) for i in range(60)]
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 3, 5, 8, 13, 20, 30, 45, 60])))) for i in range(100)]
     rows = []
     for i, t in items:
-        for k in range(3):
-            w = [x if rng.random() > 0.1 else rng.choice([x[:-1] + "z", x + "q", word()]) for x in t.split()]
-            rows.append((i * 10 + k, " ".join([word() for _ in range(rng.randint(0, 80))] + w + [word() for _ in range(30)])))
+        for k in range(3):  # words replaced, put in, left out; the first with one letter changed
+            w = t.split()
+            at = set(rng.sample(range(len(w)), int(share * len(w) + 1e-9)))
+            w = [y for n, x in enumerate(w) for y in ([x] if n not in at else [[x[:-1] + "z"], [x, word()], []][k])]
+            rows.append((i * 10 + k, " ".join([word() for _ in range(rng.randint(0, 80))] + w + [word() for _ in range(rng.randint(0, 30))])))
     rows += [(10000 + n, " ".join(word() for _ in range(200))) for n in range(100)]
     a, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 25)  # several blocks of items
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 40)  # several blocks of items
     got = {(r.doc_id, r.item_id) for r in decontaminate.matches(a, b).collect()}
-    bench = dict(items)
-    want = {(d, d // 10) for d, t in rows if d < 10000 and slow_fit(bench[d // 10], t)[0] <= 0.2 * len(bench[d // 10])}
-    assert len(want) > 150 and len(got & want) >= 0.98 * len(want) and got <= {(d, d // 10) for d, _ in rows if d < 10000}
+    words = {i: t.split() for i, t in items}
+    want = {(d, d // 10) for d, t in rows if d < 10000 and slow_fit(words[d // 10], t.split())[0] <= 0.2 * len(words[d // 10])}
+    assert len(want) == 300 and len(got & want) >= 0.97 * len(want)
+    text = dict(rows)
+    assert all(slow_fit(words[i], text[d].split())[0] <= 0.2 * len(words[i]) for d, i in got)
 
 
 # pipeline --------------------------------------------------------------------------------------------------------
