@@ -11,7 +11,8 @@ labelled by the network alone.
 
 Text inside a block has character references decoded, white space turned into one space, and is trimmed; blocks are joined
 by one line feed.  Scripts, styles, templates, comments and markup are no blocks.  Tags that are never closed, unknown
-references, null and empty pages are fine: a null page is an empty text.  Every row is returned, in any repetition.
+references, null and empty pages are fine: a null page is an empty text.  Every row is returned, in any repetition.  Pages
+are read in one forward pass: a quote that is never closed is a plain character, and a < that no > follows is text.
 """
 
 from __future__ import annotations
@@ -48,16 +49,27 @@ CLOSED_BY = {
     "dt": frozenset(["dd", "dt"]),
     "option": frozenset(["option"]),
 }
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Of RAW, those whose content is no markup: without an end tag they take the rest of the page.
+TEXT_ONLY = frozenset("script style iframe textarea title".split())
+#: A tag, matched without ever going back: quotes count only after an equals sign, and only if they are closed.
+_TAG = re.compile(r"<(/?+)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>")
+#: The same where some tag before was never closed: up to the next > whatever the quotes say.
+_PLAIN_TAG = re.compile(r"<(/?+)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
+@lru_cache(None)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I)
+
+
 def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     """``(path, text)`` of every leaf block of a page, in page order; path words are open tags and their class words."""
     out: list[tuple[tuple[str, ...], str]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
+    unclosed: set[str] = set()  # elements of RAW that no end tag follows any more
     at = 0
 
     def close() -> None:
@@ -67,16 +79,34 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             if text:
                 out.append((tuple(w for _, words in stack for w in words), text))
 
+    tag, last = _TAG.match, page.rfind(">")
     while True:
-        m = _TAG.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             held.append(page[at:])
             close()
             return out
-        held.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        held.append(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if start > last:  # no tag ends here any more
+            held.append(page[start:])
+            close()
+            return out
+        if page[start + 1] in "!?":
+            at = page.index(">", start) + 1
             continue
+        m = tag(page, start)
+        if m is None and page[start + 1 : start + 3].lstrip("/")[:1].isalpha():
+            tag = _PLAIN_TAG.match  # a tag with a > inside quotes only: from here on quotes mean nothing
+            m = tag(page, start)
+        if m is None:
+            held.append("<")
+            at = start + 1
+            continue
+        at = m.end()
         name = m[2].lower()
         if name in INLINE:
             if name == "br":
@@ -91,8 +121,12 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             continue
         close()
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if name not in unclosed:
+                end = _end_of(name).search(page, at)
+                if end is None:
+                    unclosed.add(name)
+                if end or name in TEXT_ONLY:
+                    at = end.end() if end else len(page)
             continue
         if name in VOID or m[3].endswith("/"):
             continue
@@ -263,7 +297,7 @@ CHROME = {
     "footer": ("footer", "div:footer", "footer p", "div:copyright"),
     "aside": ("aside", "aside p", "div:sidebar", "div:related ul li", "aside ul li", "div:widget"),
     "notice": ("div:cookie-notice", "div:banner", "div:consent p", "div:newsletter", "div:notice"),
-    "ad": ("div:ad", "div:advert", "div:sponsored p", "div:promo", "ins:adsbygoogle"),
+    "ad": ("div:ad", "div:advert", "div:sponsored p", "div:promo", "div:adsbygoogle"),
     "form": ("form label", "form", "form button", "div:search-form label", "form select option"),
     "comment": ("section:comments p", "div:comments div:comment p", "ol:commentlist li", "div:reader-comments p", "div:comment"),
 }

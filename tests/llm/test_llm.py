@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -49,6 +50,22 @@ def test_leaf_blocks():
     assert html_text.leaf_blocks("") == [] and [t for _, t in html_text.leaf_blocks("plain <b>text")] == ["plain text"]
 
 
+def test_pages_are_read_in_one_pass():
+    blocks = lambda page: [t for _, t in html_text.leaf_blocks(page)]
+    assert blocks("<p class=it's>hello</p><p>world it's</p>") == ["hello", "world it's"]
+    assert blocks('<p title="a > b" class=\'x"y\'>one</p><p data-x="never closed>two</p><p>three</p>') == ["one", "two", "three"]
+    assert blocks("1 < 2 and 3 <b>4</b> <5 < no end") == ["1 < 2 and 3 4 <5 < no end"]
+    assert blocks("<!-- a > b --><p>x<!-- --> y</p><? php ?><!doctype>z<!-- open") == ["x y", "z"]
+    assert blocks("<svg><p>kept</p><script>var a = '</p>';</script ><p>on</p><script>gone") == ["kept", "on"]
+    assert blocks("a<") == ["a<"] and blocks("a</") == ["a</"] and blocks("<>x</>y") == ["<>x</>y"] and blocks("<p\n>x</p\n>") == ["x"]
+    big = 1_000_000
+    for page in ("<" + "a" * big, "<p " + "a" * big + ">t</p>", '<p a="' + "b" * big + '">t</p>', "<p " + "a=b " * (big // 4) + ">t</p>", "<" * big, "<!" * (big // 2), "<a b='" * (big // 6), '<a x=">" ' * (big // 9),
+                 "<p a=" + "'" * big + ">t</p>", "<svg>" * (big // 5), "<!--" * (big // 4), "</" * (big // 2) + ">", "<p =" + " =" * (big // 2) + ">t</p>", "<p class" + " " * big + ">t</p>", "<p " + "class" * (big // 5) + ">t</p>", "&" * big + "<p>t"):
+        start = time.process_time()
+        html_text.leaf_blocks(page)
+        assert time.process_time() - start < 5, page[:20]
+
+
 def test_html_extraction(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     labeller = html_text.fit(pages)
