@@ -52,9 +52,19 @@ def with_rule(df: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
 
 
 def _windows(df: DataFrame, order: int) -> DataFrame:
-    """A row for each character of ``u`` and for its end: ``gram`` is the character after ``order`` before it."""
-    padded = F.concat(F.lit(_PAD * order), F.col("u"), F.lit("\x03"))
-    return df.withColumn("p", padded).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("u") + 1))).withColumn("gram", F.expr(f"substring(p, i, {order + 1})")).drop("p", "i")
+    """A row for each character of ``u`` and for its end, with all other columns of ``df``: ``gram`` is the character after
+    ``order`` before it.  Linear in the characters: the windows are the padded characters zipped with themselves."""
+    letters = F.concat(F.array_repeat(F.lit(_PAD), order), F.regexp_extract_all("u", F.lit("(?s)."), F.lit(0)), F.array(F.lit("\x03")))
+    size, grams = F.size("p") - order, None
+    for k in range(order + 1):
+        part = F.slice("p", k + 1, size)
+        grams = part if grams is None else F.zip_with(grams, part, lambda a, b: F.concat(a, b))
+    return df.withColumn("p", letters).withColumn("gram", F.explode(grams)).drop("p", "u")
+
+
+def _beside(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast if its rows are few."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
 def train(urls: DataFrame, order: int = ORDER) -> DataFrame:
@@ -74,6 +84,8 @@ def train(urls: DataFrame, order: int = ORDER) -> DataFrame:
         totals = seen.groupBy("ctx").agg(
             *(F.sum(f"{c}_n{k}").alias(f"{c}_t{k}") for c in prob), *(F.count_if(F.col(f"{c}_n{k}") > 0).alias(f"{c}_d{k}") for c in prob)
         )
+        if k < 2:  # few keys that everything has
+            seen, totals = _beside(seen), _beside(totals)
         out = out.withColumn("sym", window).withColumn("ctx", context).join(seen.drop("ctx"), "sym").join(totals, "ctx").drop("sym", "ctx")
         for c in prob:
             n, t, d = (F.col(f"{c}_{x}{k}") for x in "ntd")
@@ -81,20 +93,19 @@ def train(urls: DataFrame, order: int = ORDER) -> DataFrame:
     return out.select("gram", (F.log(prob["allow"]) - F.log(prob["block"])).alias("delta"))
 
 
-def score(urls: DataFrame, model: DataFrame, keys: list[str], order: int = ORDER) -> DataFrame:
-    """Add ``score`` to rows unique in ``keys`` (``u`` among them): the mean delta of a URL's characters.
+def score(urls: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(row, score)`` from ``(row, u)``: the mean delta of a URL's characters.
 
-    The model is broadcast if it has at most BROADCAST_ROWS rows; otherwise
-    both sides are shuffled by the window and a salt, with the model repeated for each salt.
+    The model is broadcast if it has at most BROADCAST_ROWS rows; otherwise both sides are shuffled by the window and a
+    salt, with the model repeated for each salt.
     """
-    grams = _windows(urls, order)
+    grams = _windows(urls.select("row", "u"), order)
     if model.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         joined = grams.join(F.broadcast(model), "gram", "left")
     else:
         salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = grams.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"], "left")
-    others = [c for c in urls.columns if c not in keys]
-    return joined.groupBy(*keys).agg((F.sum(F.coalesce("delta", F.lit(0.0))) / F.count(F.lit(1))).alias("score"), *(F.first(c).alias(c) for c in others))
+        joined = grams.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"], "left")
+    return joined.groupBy("row").agg((F.sum(F.coalesce("delta", F.lit(0.0))) / F.count(F.lit(1))).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -120,15 +131,18 @@ def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, or
     Null URLs and URLs without ``://`` have empty host and path; a null URL is scored as an empty one.  Equal rows are
     judged once and all returned.  Where the rules leave a class without URLs, unruled ones are allowed.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(url).alias("url")).groupBy("k", "url").agg(F.count(F.lit(1)).alias("copies"))
-    rows = materialise(with_rule(rows, rules).withColumn("u", F.coalesce("url", F.lit(""))), "urls")
-    labelled = rows.where("ruled is not null").groupBy("u", "ruled").agg(F.sum("copies").alias("n"))
-    held = F.pmod(F.xxhash64("u"), F.lit(5)) == 0
+    spark = df.sparkSession
+    rows = df.select(F.col(key).alias("k"), F.col(url).alias("url")).repartition(spark.sparkContext.defaultParallelism, "k", "url")
+    rows = with_rule(rows.groupBy("k", "url").agg(F.count(F.lit(1)).alias("copies")), rules)
+    rows = materialise(rows.withColumn("u", F.coalesce("url", F.lit(""))).withColumn("row", F.monotonically_increasing_id()), "urls")
+    held = (F.pmod(F.xxhash64("u"), F.lit(5)) == 0) & F.col("ruled").isNotNull()
     model = train(rows.select("u", F.when(~held, F.col("ruled")).alias("ruled"), F.col("copies").alias("n")), order)
-    model = materialise(model, "model")
-    threshold = calibrate(score(labelled.where(held), model, ["u", "ruled"], order))
-    both = labelled.agg(F.count_distinct("ruled").alias("c")).first().c == len({"allow", "block"})
-    done = score(rows, model, ["k", "url", "u"], order)
+    scored = materialise(score(rows, materialise(model, "model"), order), "scores")
+    threshold = calibrate(rows.where(held).select("row", "ruled", F.col("copies").alias("n")).join(scored, "row"))
+    both = rows.where("ruled is not null").agg(F.count_distinct("ruled").alias("c")).first().c == len({"allow", "block"})
     method = F.when(F.col("score") >= F.lit(threshold), "allow").otherwise("block") if both else F.lit("allow")
-    done = done.withColumn("verdict", F.coalesce("ruled", method)).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    done = rows.join(scored, "row").withColumn("verdict", F.coalesce("ruled", method))
+    # every copy again, in blocks of bounded size
+    done = done.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(4096).cast("long"))))
+    done = done.withColumn("again", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(4096), F.col("copies") - F.col("at")).cast("int"))))
     return done.select(F.col("k").alias(key), F.col("url").alias(url), "host", "path", "rule", "score", "verdict")

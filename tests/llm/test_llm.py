@@ -162,6 +162,19 @@ def test_url_salted_join(spark, sf, monkeypatch):
     assert {(r.page_id, r.verdict, round(r.score, 9)) for r in url_filter.judge(pages).collect()} == a
 
 
+def test_long_urls(spark):
+    rng = random.Random(6)
+    rows = [(i, f"http://a{i}.{'org' if i % 2 else 'com'}/{'en' if i % 2 else 'de'}/{rng.randint(0, 999)}") for i in range(50)]
+    rows += [(100, "http://x.net/" + "de/" * 300_000), (101, "http://x.net/" + "𝔘é/" * 1000), (102, "http://x.net/" + "𝔘é/" * 1000)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("row", F.lit("clash")).withColumn("u", F.lit(1)).withColumn("p", F.lit(2))
+    start = time.time()
+    out = {r.page_id: r for r in url_filter.judge(df).collect()}
+    assert time.time() - start < 60 and len(out) == len(rows)
+    assert out[100].verdict == "block" and len(out[100].path) == 900_001 and out[101].score == out[102].score
+    grams = url_filter._windows(spark.createDataFrame([(1, "a𝔘b"), (2, "")], "row long, u string"), 2).collect()
+    assert sorted(r.gram for r in grams if r.row == 1) == sorted(["\x02\x02a", "\x02a𝔘", "a𝔘b", "𝔘b\x03"]) and [r.gram for r in grams if r.row == 2] == ["\x02\x02\x03"]
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 def test_quality_held_out(spark, edges, empty):
     out = queries.op4_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").collect()
