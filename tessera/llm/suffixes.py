@@ -380,12 +380,29 @@ def _by_transform(found: DataFrame) -> DataFrame:
 
 
 def _by_windows(found: DataFrame) -> DataFrame:
-    """``(k, v, s, e)`` of the windows that are not the first with their bytes."""
-    one = found.select("k", "v", F.col("s").alias("s0"), "b", F.explode(F.sequence(F.lit(0), F.col("n") - LENGTH)).alias("i"))
-    one = one.select("k", "v", (F.col("s0") + F.col("i")).alias("s"), F.sha2(F.expr(f"substring(b, i + 1, {LENGTH})"), 256).alias("w"))
-    one = materialise(one, "windows")
-    first = one.groupBy("w").agg(F.min(F.struct("k", "v", "s")).alias("f"))
-    return one.join(first, "w").where(F.col("f") != F.struct("k", "v", "s")).select("k", "v", "s", (F.col("s") + LENGTH).alias("e"))
+    """``(k, v, s, e)`` of the windows that are not the first with their bytes; a batch's own first ones meet by hash."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            first: dict[bytes, tuple[int, int, int]] = {}
+            gone: list[tuple[int, int, int]] = []
+            for k, v, s, b in pdf.sort_values(["k", "v", "s"])[["k", "v", "s", "b"]].itertuples(index=False):
+                for i in range(len(b) - LENGTH + 1):
+                    place = (k, v, s + i)
+                    if first.setdefault(hashlib.sha256(b[i : i + LENGTH]).digest(), place) != place:
+                        gone.append(place)
+            if gone:
+                k, v, s = np.array(gone, np.int64).T
+                k, v, s, e = _merged(k, v, s, s + LENGTH)
+                yield pd.DataFrame({"k": k, "v": v, "s": s.astype(np.int32), "e": e.astype(np.int32), "w": None})
+            k, v, s = np.array(list(first.values()), np.int64).reshape(-1, 3).T
+            yield pd.DataFrame({"k": k, "v": v, "s": s.astype(np.int32), "e": (s + LENGTH).astype(np.int32), "w": list(first)})
+
+    one = materialise(found.mapInPandas(run, "k long, v long, s int, e int, w binary"), "windows")
+    met = one.where("w is not null")
+    first = met.groupBy("w").agg(F.min(F.struct("k", "v", "s")).alias("f"))
+    later = met.join(first, "w").where(F.col("f") != F.struct("k", "v", "s"))
+    return one.where("w is null").union(later.select(one.columns)).select("k", "v", "s", "e")
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
