@@ -1,11 +1,13 @@
 """Approximate nearest neighbours: a graph grown by NN-descent, searched greedily.
 
 Equal vectors are one node (named by its smallest id, carrying the first ids of its members), so thousands of copies are
-neither compared with each other nor crowd out other neighbours.  The graph starts from the leaves of TREES random
-projection trees (median cuts, sampled pivots of fixed number); each NN-descent round joins every node with the vectors of
-its neighbours and reverse neighbours, compares the neighbours with one another in numpy, and keeps each node's DEGREE
-nearest.  A query walks the graph: it starts from the nearest of PIVOTS fixed nodes, opens the nearest unopened nodes of its
-beam, and stops when a round opens nothing.  Distances of the answer are exact, in double precision on the vectors given.
+neither compared with each other nor crowd out other neighbours.  The graph starts from the small leaves of TREES random
+projection trees (median cuts, sampled pivots of fixed number), which hold about a tenth of the nearest neighbours; each
+NN-descent round joins every node with the vectors of its neighbours and reverse neighbours, compares the neighbours with one
+another in numpy, and keeps each node's DEGREE nearest, until the lists settle.  A query walks the graph: it starts from its
+own node, if it has one, and from the nearest of PIVOTS fixed nodes, opens the nearest unopened nodes of its beam, and stops
+when the whole beam is opened; beams only improve, so every walk ends.  Distances of the answer are exact, in double
+precision on the vectors given; on the way components beyond 1e18 count as 1e18.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows without an id, take no part.  The most
 frequent dimension is the table's; vectors of another take no part.  A repeated id keeps its first row by vector.
@@ -17,18 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.storage import materialise
 
-#: Neighbours kept for a node; reverse neighbours compared with them in a round.
-DEGREE, REVERSE = 30, 30
-#: Trees of the start, nodes of a leaf, NN-descent rounds at most, and the share of new neighbours that ends them.
-TREES, LEAF, ROUNDS, SETTLED = 8, 400, 4, 0.01
-#: Start nodes of a search, nodes kept in a query's beam, nodes opened for a query in a round, rounds at most.
-PIVOTS, BEAM, OPENED, STEPS = 256, 64, 24, 10
+#: Neighbours kept for a node; reverse neighbours compared with them in a round; share of new neighbours that ends the rounds.
+DEGREE, REVERSE, SETTLED = 40, 10, 0.01
+#: Trees of the start and nodes of a leaf.
+TREES, LEAF = 4, 64
+#: Fixed start nodes, nodes kept in a query's beam, nodes opened for a query in a step.
+PIVOTS, BEAM, OPENED = 256, 64, 24
 #: Rows that a tree's cuts are fitted on, and the seed of its directions.
 FIT_ROWS, SEED = 4096, 2011
 
@@ -60,6 +62,12 @@ def _matrix(s) -> np.ndarray:
     return np.stack([np.asarray(x, np.float32) for x in s]) if len(s) else np.zeros((0, 1), np.float32)
 
 
+def _walkable(v: Column) -> Column:
+    """A vector in single precision, with components whose squares that can hold."""
+    most = F.lit(1e18)
+    return F.transform(v, lambda x: F.greatest(-most, F.least(most, x))).cast("array<float>")
+
+
 def _leaf_codes(vectors: DataFrame, count: int) -> DataFrame:
     """``(node, x, tree, leaf)``: the leaf of every node in each tree; cuts are medians on at most FIT_ROWS nodes."""
     fit = _matrix([r.x for r in vectors.orderBy(F.xxhash64("node"), "node").select("x").limit(FIT_ROWS).collect()])
@@ -142,10 +150,11 @@ def _introduce(rows: DataFrame, keys: list[str], degree: int) -> DataFrame:
 
 
 def _start(vectors: DataFrame, count: int, degree: int) -> DataFrame:
-    """First neighbours: the nearest inside a leaf; a leaf passes in pieces of at most 4 * LEAF rows."""
+    """First neighbours: the nearest inside a leaf; a leaf of more than 4 * LEAF rows passes in pieces."""
     coded = _leaf_codes(vectors, count)
-    w = W.partitionBy("tree", "leaf").orderBy("node")
-    coded = coded.withColumn("piece", F.floor((F.row_number().over(w) - 1) / F.lit(4 * LEAF)))
+    large = coded.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * LEAF)
+    pieces = F.coalesce(F.ceil(F.col("n") / F.lit(2 * LEAF)), F.lit(1))
+    coded = coded.join(materialise(large, "large"), ["tree", "leaf"], "left").withColumn("piece", F.pmod(F.xxhash64("node", "tree"), pieces)).drop("n")
     return _introduce(coded.withColumnRenamed("node", "id").withColumn("within", F.lit(float("inf")).cast("float")), ["tree", "leaf", "piece"], degree)
 
 
@@ -161,11 +170,14 @@ def _round(graph: DataFrame, vectors: DataFrame, degree: int, reverse: int) -> D
     return _introduce(met, ["node"], degree // 2)
 
 
-def build(vectors: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph ``(node, near)`` of ``(node, x array<float>)``; every round is a written table."""
+def build(vectors: DataFrame, degree: int = DEGREE, reverse: int = REVERSE) -> DataFrame:
+    """The neighbour graph ``(node, near)`` of ``(node, x array<float>)``; every round is a written table.
+
+    Rounds go on until at most SETTLED of the neighbours are new; lists only improve, so that comes.
+    """
     count = vectors.count()
     graph = materialise(_merge(_start(vectors, count, degree), degree), "graph")
-    for _ in range(rounds):
+    while True:
         old = graph.select("node", F.explode("near").alias("e")).select("node", "e.other", "e.d")
         grown = materialise(_merge(old.union(_round(graph, vectors, degree, reverse)), degree), "graph")
         fresh = grown.withColumnRenamed("near", "now").join(graph, "node", "left").agg(
@@ -174,13 +186,13 @@ def build(vectors: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, roun
         ).first()
         graph = grown
         if not fresh["all"] or fresh["new"] <= SETTLED * fresh["all"]:
-            break
-    return graph
+            return graph
 
 
-def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, beam: int = BEAM, opened: int = OPENED, steps: int = STEPS) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, starts: DataFrame | None = None, beam: int = BEAM, opened: int = OPENED) -> DataFrame:
     """``(query, node, d)``: the beams of a greedy search for ``queries`` ``(query, q array<float>)``, squared distances.
 
+    ``starts`` ``(query, node)`` are nodes equal to a query, if known.
     The graph is made undirected for the walk, each node with its DEGREE neighbours and its nearest reverse ones.
     """
     links = graph.select("node", F.explode("near").alias("e")).select("node", "e.other", "e.d")
@@ -204,12 +216,13 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, beam: int =
             yield pd.DataFrame({"query": pdf["query"], "node": pdf["node"], "d": d, "open": False})
 
     shape = "query long, node long, d float, open boolean"
-    beams = materialise(queries.mapInPandas(begin, shape), "beams")
-    for _ in range(steps):
+    beams = queries.mapInPandas(begin, shape)
+    if starts is not None:
+        beams = beams.unionByName(starts.select("query", "node", F.lit(0).cast("float").alias("d"), F.lit(False).alias("open")))
+    beams = materialise(beams.groupBy("query", "node").agg(F.min("d").alias("d"), F.first("open").alias("open")), "beams")
+    while not beams.where("not open").isEmpty():
         turn = W.partitionBy("query", "open").orderBy("d", "node")
         front = beams.withColumn("r", F.row_number().over(turn)).where(~F.col("open") & (F.col("r") <= opened)).select("query", "node")
-        if front.isEmpty():
-            break
         seen = beams.select("query", "node", "d", F.col("open"))
         reached = front.join(walk, "node").select("query", F.explode("to").alias("node")).distinct().join(seen.select("query", "node"), ["query", "node"], "left_anti")
         reached = reached.join(vectors, "node").join(queries, "query").select("query", "node", "x", "q").mapInPandas(measure, shape)
@@ -222,15 +235,15 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, beam: int =
 def nearest(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for rows whose id is divisible by ``every``."""
     found = materialise(nodes(df, key, vector, k + 1), "nodes")
-    vectors = materialise(found.select("node", F.col("v").cast("array<float>").alias("x")), "vectors")
+    vectors = materialise(found.select("node", _walkable(F.col("v")).alias("x")), "vectors")
     asking = materialise(
-        df.select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("v")).where(F.col("query") % every == 0).groupBy("query").agg(F.min("v").alias("v")).join(found.select("v"), "v", "left_semi"),
+        df.select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("v")).where(F.col("query") % every == 0).groupBy("query").agg(F.min("v").alias("v")).join(found.select("v", "node"), "v"),
         "queries",
     )
     graph = build(vectors)
-    beams = search(asking.select("query", F.col("v").cast("array<float>").alias("q")), graph, vectors)
+    beams = search(asking.select("query", _walkable(F.col("v")).alias("q")), graph, vectors, asking.select("query", "node"))
     exact = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    scored = beams.select("query", "node").join(found, "node").join(asking.withColumnRenamed("v", "q"), "query")
+    scored = beams.select("query", "node").join(found, "node").join(asking.select("query", F.col("v").alias("q")), "query")
     scored = scored.select("query", F.explode("members").alias("vec_id"), exact.alias("score")).where("vec_id <> query")
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), "rank", "vec_id", "score")

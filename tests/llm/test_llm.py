@@ -269,6 +269,34 @@ def test_neighbours(spark):
     assert [r.vec_id for r in ann.nearest(df.where("vec_id in (0, 1, 2)")).orderBy("score").collect()].__len__() == 2
 
 
+def test_neighbour_recall_against_exact_search(spark):
+    """Over 12,000 vectors: the table's and displaced ones."""
+    table = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").select("embedding").collect()], float)
+    rng = np.random.default_rng(17)
+    x = table[np.arange(12_000) % len(table)]
+    x[len(table) :] += rng.normal(0, table.std(), (len(x) - len(table), table.shape[1]))
+    ids = np.arange(len(x)) * 5
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    out = {}
+    for r in ann.nearest(df).collect():
+        out.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = n = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        want = ids[np.lexsort((ids, d))[:10]].tolist()
+        hits, n = hits + len(out[ids[i]] & set(want)), n + len(want)
+    assert hits >= 0.9 * n, hits / n
+
+
+def test_neighbours_beyond_single_precision(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (60, 4)) * np.where(np.arange(60) % 3 == 0, 1e60, 1.0)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.nearest(df, every=20).collect()
+    assert len(out) == 30 and all(np.isfinite(r.score) for r in out)
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 def slow_removed(rows):
     seen, out = set(), {}
