@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.words import spare
+
 #: Bytes of pieces of text remembered by a worker with their ids, in each of two generations: a full one replaces the
 #: older.  Longer pieces than LONG_PIECE characters are not remembered; an entry counts _ENTRY bytes besides its text.
 KEPT_BYTES, LONG_PIECE, _ENTRY = 1 << 25, 256, 300
@@ -241,7 +243,8 @@ def round_trip(df: DataFrame, path: str, pattern: str, keep: list[str], text: st
                 decoded.append(b"".join(map(bytes_of, own)))
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
 
-    return df.select(*keep, run(df[text]).alias("__bpe")).select(*keep, "__bpe.*")
+    both, named = spare(keep, "bpe"), [F.col(f"`{c}`") for c in keep]
+    return df.select(*named, run(df[text]).alias(both)).select(*named, f"{both}.ids", f"{both}.decoded")
 
 
 def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:

@@ -18,7 +18,8 @@ documents are aggregated map-side and broadcast (HOT_MOST at most), so no task g
 Both routes are exact.
 
 Null, empty and short texts have no passages.  Rows without an id are kept by :func:`clean` and otherwise ignored.  Rows of
-one id count as one document; repeats inside one document are no matches.  ``clean`` carries all columns through.
+one id count as one document, and each of its texts can be the source of a passage; repeats inside one document are no
+matches.  ``clean`` carries all columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.words import Words, as_bytes, blocks, mix, run_hashes
+from tessera.llm.words import Words, as_bytes, blocks, mix, run_hashes, spare
 from tessera.storage import materialise
 
 KMER, WINDOW = 5, 8
@@ -363,7 +364,8 @@ def _requests(rows: DataFrame) -> DataFrame:
     chained = linked.where("words is null").drop("start", "words")
     found = materialise(chained.unionByName(_wholes(chained, linked.where("words is not null").select("k", "start", "words"))).distinct(), "chains")
     wanted = found.select("rk", "lo", "hi").distinct().groupBy("rk").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
-    earlier = rows.withColumnRenamed("k", "rk").join(wanted, "rk").dropDuplicates(["rk"])
+    earlier = rows.withColumnRenamed("k", "rk").join(wanted, "rk")
+    earlier = earlier.withColumn("x", F.xxhash64("t")).dropDuplicates(["rk", "x"]).drop("x")  # each text of an id once
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -417,8 +419,9 @@ def clean(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     Words of a copy go with the white space after them; a row whose words all go has an empty text.
     """
     rows = _rows(df, key, text)
-    asked = _requests(rows).select(F.col("k").alias("__k"), F.col("chains").alias("__chains"))
-    joined = df.join(asked, F.col(key).cast("long") == F.col("__k"), "left").drop("__k")
+    own, chains = spare(df.columns, "k"), spare(df.columns, "chains")
+    asked = _requests(rows).select(F.col("k").alias(own), F.col("chains").alias(chains))
+    joined = df.join(asked, df[key].cast("long") == asked[own], "left").drop(own)
 
     @F.pandas_udf("string")
     def run(rows: pd.Series, chains: pd.Series) -> pd.Series:
@@ -438,4 +441,4 @@ def clean(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                     texts[n] = b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
         return pd.Series(texts, dtype=object)
 
-    return joined.withColumn(text, run(F.col(text), F.col("__chains"))).drop("__chains")
+    return joined.withColumn(text, run(F.col(text), F.col(chains))).drop(chains)

@@ -113,13 +113,14 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, fl
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality"):
     """Weights and bias from at most ``sample`` labelled documents; only ids, texts and labels are read.
 
-    The ids of the sample (bounded by ``sample``) are broadcast, and one task learns from the features of its rows.
+    The ids of the sample (bounded by ``sample``) are broadcast, and one task learns from the features of its rows.  Of rows
+    that repeat an id the smallest text is taken; an id's label is the majority of its labels, 1 if they are even.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     ids = docs.select(F.col(key).alias("k")).where("k is not null").distinct().join(known, "k")
     chosen = ids.orderBy(F.xxhash64("k"), "k").limit(sample)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
-    rows = _sparse(rows.dropDuplicates(["k"]), ["k", "y"], "t")
+    rows = _sparse(rows.groupBy("k", "y").agg(F.min("t").alias("t")), ["k", "y"], "t")
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [p for p in parts if len(p)]

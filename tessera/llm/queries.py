@@ -37,7 +37,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))  # without an id: no
     scored = quality.score(docs, quality.fit(docs, labels.where(~held_out)), ["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
@@ -80,4 +80,36 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 QUERIES = {name: _bounded(query) for name, query in QUERIES.items()}
-ORACLES: dict[str, str] = {}
+
+#: The words of an item or text, A-Z lower-cased, each between two spaces.
+_SPACED = "' ' || array_to_string(list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), x -> x <> ''), ' ') || ' '"
+
+#: What SQL can say of the operators' results.
+ORACLES: dict[str, str] = {
+    "bpe_round_trip": "select doc_id, sha256(coalesce(text, '')) as decoded_sha256 from documents",
+    "url_rules": """with u as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+      p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+      r(h, q) as (values ('org', '/'), ('example.org', '/es/'), ('example.org', '/en/1'), ('com', '/fr/'), ('com', '/de/')),
+      f as (select page_id, h || q as rule, row_number() over (partition by page_id order by length(h || q) desc) as n from p, r where (host = h or ends_with(host, '.' || h)) and starts_with(path, q))
+      select p.page_id, host, path, rule from p left join f on p.page_id = f.page_id and n = 1""",
+    "verbatim_leaks": f"""with d as (select doc_id, {_SPACED.format('text')} as t from documents), b as (select item_id, {_SPACED.format('text')} as t from benchmark)
+      select doc_id, item_id from d, b where length(b.t) > 2 and contains(d.t, b.t)""",
+}
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decoded bytes of op2 alone."""
+    return op2_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hosts, paths and rules of op3 alone."""
+    return url_filter.with_rule(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule")
+
+
+def verbatim_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of op10 without an edit."""
+    return op10_decontamination(spark, sf_dir).where("edit = 0").select("doc_id", "item_id")
+
+
+QUERIES |= {q.__name__: _bounded(q) for q in (bpe_round_trip, url_rules, verbatim_leaks)}

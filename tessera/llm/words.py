@@ -103,3 +103,11 @@ def bounded_batches(spark, size: int = 1 << 22, rows: int = 10_000) -> None:
 def as_bytes(texts) -> list[bytes]:
     """UTF-8 of a column of texts; null is empty."""
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+
+
+def spare(names: list[str], base: str) -> str:
+    """A column name that is not in ``names`` (Spark compares them without case)."""
+    taken = {n.lower() for n in names}
+    while base.lower() in taken:
+        base += "_"
+    return base

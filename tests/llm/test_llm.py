@@ -198,6 +198,40 @@ def test_quality_features_are_brute_force_counts():
     assert [len(got[i]) for i in range(3)] == [10, 1, 3] and all(abs(sum(v * v for v in x) - 1) < 1e-9 for x in got.values())
 
 
+def test_ftrl_equals_a_scalar_twin():
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(40, 6, replace=False)), rng.normal(0, 1, 6).astype(np.float32), int(rng.random() < 0.5)) for _ in range(60)]
+    z, n, zb, nb = {}, {}, 0.0, 0.0
+    q = quality
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= q.L1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * q.L1) / ((q.BETA + np.sqrt(n[i])) / q.ALPHA + q.L2)
+
+    for _ in range(q.PASSES):
+        for bucket, value, y in rows:
+            bias = -zb / ((q.BETA + np.sqrt(nb)) / q.ALPHA) if zb else 0.0
+            w = {int(i): weight(int(i)) for i in bucket}
+            p = 1 / (1 + np.exp(-(bias + sum(w[int(i)] * float(x) for i, x in zip(bucket, value, strict=True)))))
+            for i, x in zip(bucket.tolist(), value.tolist(), strict=True):
+                g = (p - y) * x
+                z[i] = z.get(i, 0.0) + g - (np.sqrt(n.get(i, 0.0) + g * g) - np.sqrt(n.get(i, 0.0))) / q.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            zb, nb = zb + (p - y) - (np.sqrt(nb + (p - y) ** 2) - np.sqrt(nb)) / q.ALPHA * bias, nb + (p - y) ** 2
+    got, bias = quality.ftrl(rows)
+    assert bias == pytest.approx(-zb / ((q.BETA + np.sqrt(nb)) / q.ALPHA))
+    assert [got[i] for i in range(40)] == pytest.approx([weight(i) for i in range(40)], abs=1e-9)
+
+
+def test_quality_of_repeated_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "good words here"), (1, "bad text"), (2, "other bad text"), (None, "no id"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    a, b = (quality.fit(x, labels) for x in (docs, docs.orderBy(F.desc("text")).repartition(3)))
+    assert (a[0] == b[0]).all() and a[1] == b[1]
+    assert quality.score(docs, a, ["doc_id"]).where("score between 0 and 1").count() == 5
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 def slow_fingerprint(text):
     w = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
@@ -617,3 +651,19 @@ def test_pipeline(spark, sf, docs, texts):
     for _, stage in p.STAGES:
         strange = stage(spark, strange, sf)
     assert strange.count() == 0
+
+
+# what SQL can say ------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_part_equals_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    cur = con.execute(queries.ORACLES[name])
+    assert sorted(df.columns) == sorted(c[0] for c in cur.description)
+    want = cur.fetchall()
+    order = [c[0] for c in cur.description]
+    assert sorted(map(str, (tuple(r) for r in df.select(*order).collect()))) == sorted(map(str, want)) and want
