@@ -82,7 +82,7 @@ QUERIES = {
 QUERIES = {name: _bounded(query) for name, query in QUERIES.items()}
 
 #: The words of an item or text, A-Z lower-cased, each between two spaces.
-_SPACED = "' ' || array_to_string(list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), x -> x <> ''), ' ') || ' '"
+_SPACED = "' ' || trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+', ' ', 'g'), ' ') || ' '"
 
 #: What SQL can say of the operators' results.
 ORACLES: dict[str, str] = {

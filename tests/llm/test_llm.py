@@ -631,6 +631,25 @@ def test_decontamination_recall(spark, monkeypatch, share):
 
 
 # pipeline --------------------------------------------------------------------------------------------------------
+def test_pipeline_of_strange_rows(spark, sf):
+    import corpus_pipeline as p
+
+    some = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id <= 60")
+    odd = spark.createDataFrame([(None, "no id", "en", "s", 5), (900_001, None, None, None, None), (900_002, "", "en", "s", 0), (900_003, "word " * 60_000, "en", "s", 300_000), (900_004, "it", None, "s", 2)], some.schema)
+    docs = some.union(odd).union(some.where("doc_id < 5"))
+    for name in ("score", "before", "k", "chains", "bpe", "fp", "component_id", "row", "ids", "a.b"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    for name, stage in p.STAGES[:-1]:
+        kept = stage(spark, docs, sf)
+        assert kept.columns == docs.columns, name
+        rows = kept.collect()
+        assert all(r["score"] == "own score" and r["a.b"] == "own a.b" for r in rows), name
+        if name != "quality classifier":  # the classifier may reject any of them
+            assert sum(r.doc_id is None for r in rows) == 1, name
+    tokens = p.STAGES[-1][1](spark, docs, sf).collect()
+    assert len(tokens) == docs.count() and sum(r.n_tokens == 0 for r in tokens) == 2
+
+
 def test_pipeline(spark, sf, docs, texts):
     import corpus_pipeline as p
 
