@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.visibility import entity_at
+from tessera.operators.folding import in_order
 
 
 def touching(edges: DataFrame, chains: DataFrame) -> DataFrame:
@@ -43,55 +47,57 @@ def supersede(observed: DataFrame, owner: list[str], target: str, at: str, tie:
     return rows.withColumn("valid_to", F.lead("valid_from").over(W.partitionBy(*owner).orderBy("interval")))
 
 
+class _Slot:
+    """Intervals of one owner slot that are not cancelled, by start; they never overlap."""
+
+    def __init__(self):
+        self.starts: list = []
+        self.rows: list[dict] = []
+
+    def step(self, r) -> Iterator[dict]:
+        now = r.captured_at
+        start = r.effective_from if pd.notna(r.effective_from) else now
+        end = r.effective_to if pd.notna(r.effective_to) else None
+        if r.kind in ("cancel", "replace"):
+            i = bisect_right(self.starts, now)
+            yield from (x | {"cancelled_at": now} for x in self.rows[i:])  # pending ones
+            del self.rows[i:], self.starts[i:]
+            if r.kind == "cancel":
+                x = self.rows[-1] if self.rows else None
+                if x and x["target"] == r.target and (x["valid_to"] is None or x["valid_to"] > now) and now > x["last_seen_at"]:
+                    x["valid_to"] = now
+                return
+        i = bisect_right(self.starts, start)
+        x = self.rows[i - 1] if i else None
+        if x and x["target"] == r.target and (x["valid_to"] is None or start < x["valid_to"]):
+            x["last_seen_at"] = max(x["last_seen_at"], now)
+            if end is not None and (x["valid_to"] is None or end < x["valid_to"]):
+                x["valid_to"] = end
+            return
+        row = {"target": r.target, "valid_from": start, "valid_to": end, "cancelled_at": None, "last_seen_at": now, "outcome": "interval"}
+        if x and x["valid_from"] == start:
+            yield row | {"outcome": "two targets at one time"}
+            return
+        if i < len(self.starts) and (end is None or end > self.starts[i]):
+            row["valid_to"] = self.starts[i]
+        if x and (x["valid_to"] is None or x["valid_to"] > start):
+            x["valid_to"] = start
+        self.starts.insert(i, start)
+        self.rows.insert(i, row)
+
+    def close(self) -> Iterator[dict]:
+        yield from self.rows
+
+
 def plan(changes: DataFrame, schema: str, owner: list[str]) -> DataFrame:
     """The full interval rules, an owner slot at a time, for declared intervals, amendments and cancellations.
 
     Input ``owner.., target, kind (observe|replace|cancel), effective_from, effective_to, captured_at, idx``; output
     ``owner.., target, valid_from, valid_to, cancelled_at, outcome``.  An older observation never extends or inverts an
     interval; a later start shortens the one before; a pending interval can be replaced or cancelled, a running one closed.
+    A slot's intervals (not its observations) are held while it passes.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        line: list[dict] = []
-        rejected: list[dict] = []
-        for r in pdf.sort_values(["captured_at", "idx"]).itertuples():
-            start = r.effective_from if pd.notna(r.effective_from) else r.captured_at
-            end = r.effective_to if pd.notna(r.effective_to) else None
-            running = [x for x in line if x["cancelled_at"] is None and (x["valid_to"] is None or x["valid_to"] > r.captured_at)]
-            pending = [x for x in running if x["valid_from"] > r.captured_at]
-            if r.kind in ("cancel", "replace"):
-                for x in pending:
-                    x["cancelled_at"] = r.captured_at
-                if r.kind == "cancel":
-                    for x in running:
-                        if x not in pending and x["target"] == r.target:
-                            if r.captured_at > x["last_seen_at"]:
-                                x["valid_to"] = r.captured_at
-                    continue
-            live = [x for x in line if x["cancelled_at"] is None]
-            same = [x for x in live if x["target"] == r.target and x["valid_from"] <= start and (x["valid_to"] is None or start < x["valid_to"])]
-            if same:
-                same[-1]["last_seen_at"] = max(same[-1]["last_seen_at"], r.captured_at)
-                if end is not None and (same[-1]["valid_to"] is None or end < same[-1]["valid_to"]):
-                    same[-1]["valid_to"] = end
-                continue
-            row = {"target": r.target, "valid_from": start, "valid_to": end, "cancelled_at": None, "last_seen_at": r.captured_at, "outcome": "interval"}
-            if any(x["valid_from"] == start for x in live):
-                rejected.append(row | {"outcome": "two targets at one time"})
-                continue
-            later = [x["valid_from"] for x in live if x["valid_from"] > start]
-            if later and (row["valid_to"] is None or row["valid_to"] > min(later)):
-                row["valid_to"] = min(later)
-            for x in live:
-                if x["valid_from"] < start and (x["valid_to"] is None or x["valid_to"] > start):
-                    x["valid_to"] = start
-            line.append(row)
-        out = pd.DataFrame(line + rejected, columns=["target", "valid_from", "valid_to", "cancelled_at", "outcome"])
-        for c in reversed(owner):
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
-
-    return changes.groupBy(*owner).applyInPandas(run, schema)
+    return in_order(changes, owner, ["captured_at", "idx"], _Slot, ["target", "valid_from", "valid_to", "cancelled_at", "outcome"], schema)
 
 
 def broken_timelines(edges: DataFrame, owner: list[str]) -> DataFrame:

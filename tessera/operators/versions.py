@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators.folding import in_order
+
 
 def linearize(observations: DataFrame, chain: str, order: list[str], content: list[str], at: str) -> DataFrame:
     """Versions of full observations: a new one wherever ``content`` differs from the observation before.
@@ -70,47 +71,86 @@ def conflicts(observations: DataFrame, keys: list[str], value: str) -> DataFrame
     return observations.groupBy(*keys).agg(F.count_distinct(value).alias("n_values")).where("n_values > 1")
 
 
-def fold(observations: DataFrame, schema: str, chain: str = "chain_id") -> DataFrame:
-    """The full state machine for chains whose observations are partial, equal-timed or deleting, a chain at a time.
+def _clash(p: str, q: str) -> bool:
+    return p == q or p.startswith(q + ".") or q.startswith(p + ".")
 
-    Input ``(chain_id, captured_at, idx, full, deleted, props map<string,string>, loose array<string>)``; output
-    ``(chain_id, version, valid_from, valid_to, deleted_at, props, outcome)`` rows of versions and rejected observations.
-    """
 
-    def clash(p: str, q: str) -> bool:
-        return p == q or p.startswith(q + ".") or q.startswith(p + ".")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, head = [], None
-        for r in pdf.sort_values(["captured_at", "idx"]).itertuples():
-            new, loose, t = dict(r.props if r.props is not None else []), set(r.loose if r.loose is not None else []), r.captured_at
-            if head is None:
-                if not r.deleted:
-                    head = {"version": 1, "valid_from": t, "valid_to": None, "deleted_at": None, "props": new, "outcome": "version"}
-                    out.append(head)
-                continue
-            if r.deleted:
-                head["deleted_at"] = head["deleted_at"] or t
-                continue
+class _Chain:
+    """The version state of one chain.  ``clock`` is the time of the last living observation, ``changed`` of the last death."""
+
+    def __init__(self):
+        self.head: dict | None = None
+        self.clock = self.changed = None
+
+    def _problem(self, t, props: dict, outcome: str) -> dict:
+        return {"version": self.head["version"], "valid_from": t, "valid_to": None, "deleted_at": None, "props": props, "outcome": outcome}
+
+    def _open(self, version: int, t, props: dict) -> None:
+        self.head = {"version": version, "valid_from": t, "valid_to": None, "deleted_at": None, "props": props, "outcome": "version"}
+        self.clock = t
+
+    def step(self, r) -> Iterator[dict]:
+        new, loose, t = dict(r.props if r.props is not None else []), set(r.loose if r.loose is not None else []), r.captured_at
+        head = self.head
+        if head is None:
+            if not r.deleted:
+                self._open(1, t, new)
+        elif r.deleted:
             if head["deleted_at"] is not None:
-                if t <= head["deleted_at"]:
-                    out.append({"version": head["version"], "valid_from": t, "valid_to": None, "deleted_at": None, "props": new, "outcome": "stale"})
-                    continue
-            elif not r.full:
-                new = {k: v for k, v in head["props"].items() if not any(clash(k, p) for p in new)} | new
+                self.changed = t  # the first deletion stays, its clock goes on
+            elif t == self.clock:
+                yield self._problem(t, {}, "deleted while alive")
+            else:
+                head["deleted_at"] = self.changed = t
+        elif head["deleted_at"] is not None:
+            if t <= self.changed:
+                yield self._problem(t, new, "alive at its deletion")
+            else:
+                yield head
+                self._open(head["version"] + 1, t, new)
+        else:
+            if not r.full:
+                new = {k: v for k, v in head["props"].items() if not any(_clash(k, p) for p in new)} | new
             changed = {k for k in head["props"].keys() | new.keys() if head["props"].get(k) != new.get(k)}
-            if head["deleted_at"] is None and changed <= loose:
-                head["props"] = new
-            elif head["deleted_at"] is None and t == head["valid_from"]:
-                out.append({"version": head["version"], "valid_from": t, "valid_to": None, "deleted_at": None, "props": new, "outcome": "two contents at one time"})
+            if changed <= loose:
+                head["props"], self.clock = new, t
+            elif t == self.clock:
+                yield self._problem(t, new, "two contents at one time")
             else:
-                if head["deleted_at"] is None:
-                    head["valid_to"] = t
-                head = {"version": head["version"] + 1, "valid_from": t, "valid_to": None, "deleted_at": None, "props": new, "outcome": "version"}
-                out.append(head)
-        return pd.DataFrame([{chain: pdf[chain].iloc[0], **o} for o in out], columns=[chain, "version", "valid_from", "valid_to", "deleted_at", "props", "outcome"])
+                yield head | {"valid_to": t}
+                self._open(head["version"] + 1, t, new)
 
-    return observations.groupBy(chain).applyInPandas(run, schema)
+    def close(self) -> Iterator[dict]:
+        if self.head is not None:
+            yield self.head
+
+
+def united(observations: DataFrame, chain: str = "chain_id") -> DataFrame:
+    """Partial observations of a chain at one instant as one, if they agree; the rest as they are.
+
+    They disagree if a path has two values or one names a part of another; then all of them stay, for the fold to reject.
+    """
+    partial = F.col("full") | F.col("deleted")
+    at = [chain, "captured_at"]
+    merged = observations.where(~partial).groupBy(*at).agg(F.min("idx").alias("idx"), F.collect_list("props").alias("all"), F.flatten(F.collect_list("loose")).alias("loose"))
+    entries = F.array_distinct(F.flatten(F.transform("all", lambda m: F.map_entries(m))))
+    names = F.transform("e", lambda x: x["key"])
+    parts = F.exists(names, lambda x: F.exists(names, lambda y: y.startswith(F.concat(x, F.lit(".")))))
+    merged = merged.withColumn("e", entries).withColumn("agree", (F.size(F.array_distinct(names)) == F.size("e")) & ~parts)
+    one = merged.where("agree").select(*at, "idx", F.lit(False).alias("full"), F.lit(False).alias("deleted"), F.map_from_entries("e").alias("props"), F.array_distinct("loose").alias("loose"))
+    kept = observations.where(~partial).join(merged.where("not agree").select(*at), at, "left_semi")
+    return observations.where(partial).select(one.columns).unionByName(one).unionByName(kept.select(one.columns))
+
+
+def fold(observations: DataFrame, schema: str, chain: str = "chain_id") -> DataFrame:
+    """The full state machine for chains whose observations are partial, equal-timed or deleting.
+
+    Input ``(chain_id, captured_at, idx, full, deleted, props map<string,string>, loose array<string>)``; output
+    ``(chain_id, version, valid_from, valid_to, deleted_at, props, outcome)`` rows of versions and rejected observations.
+    A chain passes through one task in order, which holds its head only; full chains are better served by
+    :func:`linearize`, a window.
+    """
+    return in_order(united(observations, chain), [chain], ["captured_at", "idx"], _Chain, ["version", "valid_from", "valid_to", "deleted_at", "props", "outcome"], schema)
 
 
 def change_feed(versions: DataFrame, chain: str, content: list[str], after: Column, until: Column) -> DataFrame:

@@ -1,5 +1,7 @@
 """Small cases of the rules that are easy to get wrong."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,7 +102,134 @@ def test_fold_state_machine(spark):
     df = spark.createDataFrame([(*x, []) for x in e], "chain_id int, captured_at int, idx int, full boolean, deleted boolean, props map<string,string>, loose array<string>")
     out = versions.fold(df, "chain_id int, version int, valid_from int, valid_to int, deleted_at int, props map<string,string>, outcome string")
     got = sorted((r.chain_id, r.version, r.valid_from, r.valid_to or -1, r.deleted_at or -1, r.outcome) for r in out.collect())
-    assert got == [(1, 1, 1, 2, -1, "version"), (1, 2, 2, -1, 3, "version"), (1, 2, 3, -1, -1, "stale"), (1, 3, 4, -1, -1, "version"), (3, 1, 1, -1, -1, "two contents at one time"), (3, 1, 1, -1, -1, "version")]
+    assert got == [(1, 1, 1, 2, -1, "version"), (1, 2, 2, -1, 3, "version"), (1, 2, 3, -1, -1, "alive at its deletion"), (1, 3, 4, -1, -1, "version"), (3, 1, 1, -1, -1, "two contents at one time"), (3, 1, 1, -1, -1, "version")]
+
+
+class SlowChain:
+    """The state table, row by row, written out once more for single chains."""
+
+    @staticmethod
+    def run(rows):
+        out, versions, alive_at, dead_at, moved = [], [], None, None, None
+        for t, _, full, deleted, props, loose in rows:
+            top = versions[-1] if versions else None
+            if top is None:
+                if not deleted:
+                    versions.append([1, t, None, None, props])
+                    alive_at = t
+            elif deleted and dead_at is not None:
+                moved = t
+            elif deleted:
+                if alive_at == t:
+                    out.append((top[0], t, "deleted while alive"))
+                else:
+                    top[3] = dead_at = moved = t
+            elif dead_at is not None:
+                if t > moved:
+                    versions.append([top[0] + 1, t, None, None, props])
+                    alive_at, dead_at = t, None
+                else:
+                    out.append((top[0], t, "alive at its deletion"))
+            else:
+                now = props if full else top[4] | props
+                diff = [k for k in {*now, *top[4]} if now.get(k) != top[4].get(k)]
+                if all(k in loose for k in diff):
+                    top[4], alive_at = now, t
+                elif alive_at == t:
+                    out.append((top[0], t, "two contents at one time"))
+                else:
+                    top[2] = t
+                    versions.append([top[0] + 1, t, None, None, now])
+                    alive_at = t
+        return sorted([(v, a, b or -1, d or -1, "version") for v, a, b, d, _ in versions] + [(v, t, -1, -1, o) for v, t, o in out])
+
+
+def test_fold_equals_the_state_table(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for c in range(120):
+        own = []
+        for i in range(rng.randint(1, 14)):
+            gone = rng.random() < 0.2
+            props = {} if gone else {k: str(rng.randrange(2)) for k in rng.sample("abc", rng.randint(1, 3))}
+            own.append((rng.randrange(1, 9), i, gone or rng.random() < 0.7, gone, props, ["c"]))
+        own.sort(key=lambda r: r[:2])
+        partial = {}
+        for r in own:
+            if not r[2] and not r[3]:
+                partial.setdefault(r[0], []).append(r)
+        for t, group in partial.items():  # agreeing ones of one instant are one
+            both = {}
+            if all(both.setdefault(k, v) == v for r in group for k, v in r[4].items()):
+                own = [r for r in own if r not in group or r is group[0]]
+                own = [(*r[:4], both, r[5]) if r is group[0] else r for r in own]
+        want[c] = SlowChain.run(own)
+        rows += [(c, *r) for r in own]
+    df = spark.createDataFrame(rows, "chain_id int, captured_at int, idx int, full boolean, deleted boolean, props map<string,string>, loose array<string>")
+    got = {}
+    for r in versions.fold(df.repartition(3), "chain_id int, version int, valid_from int, valid_to int, deleted_at int, props map<string,string>, outcome string").collect():
+        got.setdefault(r.chain_id, []).append((r.version, r.valid_from, r.valid_to or -1, r.deleted_at or -1, r.outcome))
+    assert {c: sorted(got.get(c, [])) for c in want} == want
+    assert {o for v in want.values() for *_, o in v} == {"version", "deleted while alive", "alive at its deletion", "two contents at one time"}
+
+
+def test_partial_observations_of_one_instant_are_united(spark):
+    e = [(1, 1, 0, False, False, {"a": "1"}), (1, 1, 1, False, False, {"b": "2"}), (2, 1, 0, False, False, {"a": "1"}), (2, 1, 1, False, False, {"a": "2"}), (3, 1, 0, False, False, {"a": "1"}), (3, 1, 1, False, False, {"a.b": "1"})]
+    df = spark.createDataFrame([(*x, []) for x in e], "chain_id int, captured_at int, idx int, full boolean, deleted boolean, props map<string,string>, loose array<string>")
+    out = versions.fold(df, "chain_id int, version int, valid_from int, valid_to int, deleted_at int, props map<string,string>, outcome string").collect()
+    assert {(r.chain_id, r.outcome) for r in out} == {(1, "version"), (2, "version"), (2, "two contents at one time"), (3, "version"), (3, "two contents at one time")}
+    assert [r.props for r in out if r.chain_id == 1] == [{"a": "1", "b": "2"}]
+
+
+def slow_plan(rows):
+    """The interval rules by scanning all intervals for every change."""
+    line, rejected = [], []
+    for target, kind, start, end, now in rows:
+        start = now if start is None else start
+        live = [x for x in line if x[3] is None]
+        if kind != "observe":
+            for x in live:
+                if x[1] > now:
+                    x[3] = now
+            if kind == "cancel":
+                for x in live:
+                    if x[1] <= now and (x[2] is None or x[2] > now) and x[0] == target and now > x[4]:
+                        x[2] = now
+                continue
+            live = [x for x in line if x[3] is None]
+        same = [x for x in live if x[0] == target and x[1] <= start and (x[2] is None or start < x[2])]
+        if same:
+            same[0][4] = max(same[0][4], now)
+            if end is not None and (same[0][2] is None or end < same[0][2]):
+                same[0][2] = end
+        elif any(x[1] == start for x in live):
+            rejected.append([target, start, end, None, now])
+        else:
+            later = [x[1] for x in live if x[1] > start]
+            stop = min([y for y in [end, *later] if y is not None], default=None)
+            for x in live:
+                if x[1] < start and (x[2] is None or x[2] > start):
+                    x[2] = start
+            line.append([target, start, stop, None, now])
+    return sorted([(*(y if y is not None else -1 for y in x[:4]), "interval") for x in line] + [(*(y if y is not None else -1 for y in x[:4]), "two targets at one time") for x in rejected])
+
+
+def test_plan_equals_a_scan_of_all_intervals(spark):
+    rng = random.Random(14)
+    rows, want = [], {}
+    for o in range(100):
+        own = []
+        for i in range(rng.randint(1, 10)):
+            start = rng.choice([None, rng.randrange(1, 20)])
+            end = rng.choice([None, (start or i * 2) + rng.randrange(1, 6)])
+            own.append((rng.choice("xyz"), rng.choice(["observe"] * 4 + ["replace", "cancel"]), start, end if start is not None else None, i * 2 + rng.randrange(2)))
+        want[o] = slow_plan(own)
+        rows += [(o, *r, i) for i, r in enumerate(own)]
+    df = spark.createDataFrame(rows, "own int, target string, kind string, effective_from int, effective_to int, captured_at int, idx int")
+    got = {}
+    for r in edges.plan(df, "own int, target string, valid_from int, valid_to int, cancelled_at int, outcome string", ["own"]).collect():
+        got.setdefault(r.own, []).append((r.target, r.valid_from, -1 if r.valid_to is None else r.valid_to, -1 if r.cancelled_at is None else r.cancelled_at, r.outcome))
+    assert {o: sorted(got.get(o, [])) for o in want} == want
 
 
 def test_interval_plan(spark):
