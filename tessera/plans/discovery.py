@@ -26,9 +26,9 @@ _INDEX = """(select cast(c_custkey as varchar) as hash, c_custkey as chain_id, '
 
 
 @query(f"""select o_orderkey as obs, uuid, row_number() over (partition by o_orderkey order by dead, version desc, uuid) as preference
-  from orders join {_INDEX} i on cast(o_custkey as varchar) = hash where o_orderkey % 10 = 0""")
+  from orders join {_INDEX} i on cast(o_custkey as varchar) = hash""")
 def identity_lookup_live_then_deleted(spark, sf):
-    observed = table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("obs"), F.col("o_custkey").cast("string").alias("hash"))
+    observed = table(spark, sf, "orders").select(F.col("o_orderkey").alias("obs"), F.col("o_custkey").cast("string").alias("hash"))
     return identity.lookup(observed, _index(spark, sf)).select("obs", "uuid", "preference")
 
 
@@ -37,15 +37,6 @@ def prefer_live_version(spark, sf):
     return identity.preferred(_index(spark, sf)).select("chain_id", "uuid")
 
 
-_COMPONENTS = """with recursive e as (select distinct o_orderkey as obs, o_custkey % 40 * 1000 + o_orderkey % 11 as hash from orders where o_orderkey < 400),
-  l as (select a.obs as a, b.obs as b from e a join e b using (hash)), r as (select obs as node, obs as seen from e union select r.node, l.b from r join l on r.seen = l.a)
-  , comp as (select node, min(seen) as component from r group by node)"""
-
-
-def _observed(spark, sf):
-    return table(spark, sf, "orders").where("o_orderkey < 400").select(F.col("o_orderkey").alias("obs"), (F.col("o_custkey") % 40 * 1000 + F.col("o_orderkey") % 11).alias("hash"))
-
-
 @query("""with k as (select o_orderkey as obs, 'c' || o_custkey as hash from orders union all select o_orderkey, 'd' || o_orderkey // 4 from orders),
   c as (select o_custkey, min(o_orderkey // 4) as g from orders group by 1) select count(*) as n from k""")
 def key_rows(spark, sf):
@@ -77,12 +68,11 @@ def component_conflicts(spark, sf):
     return identity.resolve(own.union(shared), stored).select("obs", "chain_id", "conflict")
 
 
-@query("""with m as (select o_custkey // 7 as component, o_orderkey % 500 as snapshot from orders where o_custkey % 7 < 2 and o_orderkey < 900),
-  s as (select a.snapshot as a, b.snapshot as b from m a join m b using (component)), bad as (select distinct snapshot from m where component % 30 = 0)
-  select distinct node as snapshot from (with recursive r as (select snapshot as seed, snapshot as node from bad union select r.seed, s.b from r join s on r.node = s.a) select * from r)""")
+@query("""with recursive m as (select distinct o_custkey // 7 as component, o_custkey // 5 as snapshot from orders), s as (select a.snapshot as a, b.snapshot as b from m a join m b using (component)),
+  r as (select snapshot as node from m where component % 30 = 0 union select s.b from r join s on r.node = s.a) select node as snapshot from r""")
 def rejected_snapshots(spark, sf):
-    """Rejection spreads over snapshots that share a component with a conflicting one."""
-    m = table(spark, sf, "orders").where("o_custkey % 7 < 2 and o_orderkey < 900").select(F.floor(F.col("o_custkey") / 7).alias("component"), (F.col("o_orderkey") % 500).alias("snapshot")).distinct()
+    """Rejection spreads over snapshots (fives of customers) that share a component (sevens of them) with a conflicting one."""
+    m = table(spark, sf, "orders").select(F.floor(F.col("o_custkey") / 7).alias("component"), F.floor(F.col("o_custkey") / 5).alias("snapshot")).distinct()
     return identity.reject(m.where("component % 30 = 0").select("component"), m)
 
 
@@ -101,13 +91,16 @@ def lookup_by_name(spark, sf):
     return identity.by_name(rows, asked).select("chain_id")
 
 
-@query("""with a as (select l_orderkey as id, unnest(['f' || l_returnflag, 's' || l_linestatus, 'q' || cast(l_quantity as integer)]) as kv from lineitem where l_orderkey < 40),
-  b as (select p_partkey as right_id, unnest(['fA', 'sF', 'q' || p_size]) as kv from part where p_partkey < 50), n as (select id, count(distinct kv[1]) as n from a group by id)
-  select id as left_id, right_id, count(distinct kv[1]) / n as overlap from (select distinct id, kv from a) join (select distinct right_id, kv from b) using (kv) join n using (id) group by id, right_id, n""")
+@query("""with a as (select o_orderkey as id, unnest(['c' || o_custkey, 'k' || o_orderkey, 'n' || c_name]) as kv from orders join customer on c_custkey = o_custkey),
+  b as (select c_custkey as right_id, unnest(['c' || c_custkey, 'k' || c_custkey, 'n' || c_name]) as kv from customer)
+  select id as left_id, right_id, count(*) / 3 as overlap from a join b using (kv) group by id, right_id""")
 def property_overlap(spark, sf):
-    three = lambda f, s, q: F.explode(F.array(F.struct(F.lit("f").alias("key"), f.alias("value")), F.struct(F.lit("s").alias("key"), s.alias("value")), F.struct(F.lit("q").alias("key"), q.cast("int").cast("string").alias("value"))))
-    a = table(spark, sf, "lineitem").where("l_orderkey < 40").select(F.col("l_orderkey").alias("id"), three(F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_quantity")).alias("e")).select("id", "e.*").distinct()
-    b = table(spark, sf, "part").where("p_partkey < 50").select(F.col("p_partkey").alias("id"), three(F.lit("A"), F.lit("F"), F.col("p_size")).alias("e")).select("id", "e.*").distinct()
+    """Orders carry their customer's key and name, and a number of their own that may be another customer's."""
+    three = lambda c, k, n: F.explode(F.array(*(F.struct(F.lit(x).alias("key"), v.cast("string").alias("value")) for x, v in (("c", c), ("k", k), ("n", n)))))
+    c = table(spark, sf, "customer")
+    o = table(spark, sf, "orders").join(c, F.col("c_custkey") == F.col("o_custkey"))
+    a = o.select(F.col("o_orderkey").alias("id"), three(F.col("o_custkey"), F.col("o_orderkey"), F.col("c_name")).alias("e")).select("id", "e.*")
+    b = c.select(F.col("c_custkey").alias("id"), three(F.col("c_custkey"), F.col("c_custkey"), F.col("c_name")).alias("e")).select("id", "e.*")
     return identity.property_overlap(a, b)
 
 
@@ -168,17 +161,17 @@ def reference_edges(spark, sf):
     return references.edges(references.decide(found, observed), observed)
 
 
-@query("""select l.l_orderkey * 10 + l.l_linenumber as source, 'ps:' || s.l_partkey || ':' || s.l_suppkey as chain_id from (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem where l_orderkey < 500) l
-  join (select distinct l_partkey, l_suppkey from lineitem where l_orderkey < 250) s on s.l_partkey = l.l_partkey and s.l_suppkey = l.l_suppkey group by all""")
+@query("""select l.l_orderkey * 10 + l.l_linenumber as source, 'ps:' || s.l_partkey || ':' || s.l_suppkey as chain_id from (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem) l
+  join (select distinct l_partkey, l_suppkey from lineitem where l_returnflag = 'R') s on s.l_partkey = l.l_partkey and s.l_suppkey = l.l_suppkey group by all""")
 def composite_key_edges(spark, sf):
-    """Two-part keys (part, supplier): both components must be found among the fields of one line."""
+    """Two-part keys (part, supplier) of returned lines: both components must be found among the fields of one line."""
     lines = table(spark, sf, "lineitem")
     part, supp = F.concat(F.lit("part:"), F.col("l_partkey").cast("string")), F.concat(F.lit("supp:"), F.col("l_suppkey").cast("string"))
     both = F.explode(F.array(F.struct(F.lit("partkey").alias("field"), part.alias("token")), F.struct(F.lit("suppkey").alias("field"), supp.alias("token"))))
     line = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    observed = lines.where("l_orderkey < 500").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source"), line.alias("object_path"), both.alias("e")).select("source", "object_path", "e.*").distinct()
+    observed = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source"), line.alias("object_path"), both.alias("e")).select("source", "object_path", "e.*").distinct()
     target = F.concat(F.lit("ps:"), F.col("l_partkey").cast("string"), F.lit(":"), F.col("l_suppkey").cast("string"))
-    groups = lines.where("l_orderkey < 250").select(target.alias("chain_id"), both.alias("e")).select("chain_id", F.lit(1).alias("group_id"), F.col("e.field").alias("property"), "e.token", F.lit(2).alias("size")).distinct()
+    groups = lines.where("l_returnflag = 'R'").select(target.alias("chain_id"), both.alias("e")).select("chain_id", F.lit(1).alias("group_id"), F.col("e.field").alias("property"), "e.token", F.lit(2).alias("size")).distinct()
     return references.composite(observed, groups).select("source", "chain_id").distinct()
 
 

@@ -45,11 +45,11 @@ def lifecycle_routing(spark, sf):
     return live.select("c_custkey", F.lit("live").alias("route")).union(gone.select("c_custkey", F.lit("delete").alias("route")))
 
 
-@query("select 'orders:' || o_orderkey as source_chain, 'orders:' || o_orderkey || '/Line/' || l_linenumber as target_chain from (select distinct l_orderkey as o_orderkey, l_linenumber from lineitem where l_orderkey < 2000)")
+@query("select 'orders:' || o_orderkey as source_chain, 'orders:' || o_orderkey || '/Line/' || l_linenumber as target_chain from (select distinct l_orderkey as o_orderkey, l_linenumber from lineitem)")
 def child_extraction(spark, sf):
     """Lines nested in their order as a JSON array become child entities owned by it."""
     line = F.to_json(F.collect_list(F.struct(F.col("l_linenumber").cast("string").alias("no"), F.col("l_partkey").cast("string").alias("part"))))
-    parents = table(spark, sf, "lineitem").where("l_orderkey < 2000").groupBy("l_orderkey").agg(line.alias("lines")).select(chain("orders", "l_orderkey").alias("chain_id"), "lines")
+    parents = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(line.alias("lines")).select(chain("orders", "l_orderkey").alias("chain_id"), "lines")
     return snapshots.children(parents, "chain_id", "lines", "no", "Line")[1].select("source_chain", "target_chain")
 
 

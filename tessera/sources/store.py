@@ -1,7 +1,8 @@
-"""Durable state: immutable table versions under one manifest a commit, receipts, checkpoints, profiles.
+"""Durable state: immutable table versions under one manifest a commit, checkpoints, profiles.
 
 A commit writes new table files, then creates ``manifest/<n>.json``; creating it fails if it exists, which is the
-compare-and-set that serialises writers.  Readers open one manifest and so see one commit.  Files go through Hadoop's file
+compare-and-set that serialises writers.  The manifest names its run and carries the run's counts, so it is the receipt, too:
+a run is committed if and only if there is a manifest of it.  Readers open one manifest and so see one commit.  Files go through Hadoop's file
 system API, so any store that Spark reaches and whose create-without-overwrite is atomic will do.
 """
 
@@ -27,10 +28,13 @@ class Store:
 
     def _create(self, name: str, text: str) -> None:
         """Write a new small file; Conflict if it is there."""
+        path = self._path(f"{self.root}/{name}")
         try:
-            out = self._fs.create(self._path(f"{self.root}/{name}"), False)
+            out = self._fs.create(path, False)
         except Exception as e:
-            raise Conflict(name) from e
+            if self._fs.exists(path):
+                raise Conflict(name) from e
+            raise
         try:
             out.write(bytearray(text.encode()))
         finally:
@@ -57,11 +61,17 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/{path}") if path else None
 
     def receipt(self, run_id: str) -> dict | None:
-        """What a run committed, if it did."""
-        return self._read(f"receipt/{run_id}.json") if f"{run_id}.json" in self._names("receipt") else None
+        """What a run committed, if it did: the manifest that names it."""
+        if not self.revision():
+            return None
+        found = self.spark.read.text(f"{self.root}/manifest", wholetext=True).where(F.get_json_object("value", "$.run") == run_id).first()
+        if found is None:
+            return None
+        own = json.loads(found.value)
+        return {"run": run_id, "revision": own["revision"], "counts": own["counts"]}
 
     def commit(self, run_id: str, tables: dict[str, DataFrame], counts: dict, parent: int, generations: dict[str, int] | None = None) -> dict:
-        """Write tables and publish them on top of ``parent``; a run that has a receipt commits nothing again.
+        """Write tables and publish them on top of ``parent``; a run that is committed commits nothing again.
 
         ``generations`` claims collections: a newer generation takes over, an older or equal one of another run is refused.
         """
@@ -79,10 +89,8 @@ class Store:
             paths[name] = f"state/{name}/{uuid.uuid4().hex}"
             df.write.parquet(f"{self.root}/{paths[name]}")
         n = parent + 1
-        self._create(f"manifest/{n:012d}.json", json.dumps({"tables": paths, "generations": claimed, "run": run_id, "revision": n}))
-        done = {"run": run_id, "revision": n, "counts": counts}
-        self._create(f"receipt/{run_id}.json", json.dumps(done))
-        return done
+        self._create(f"manifest/{n:012d}.json", json.dumps({"tables": paths, "generations": claimed, "run": run_id, "revision": n, "counts": counts}))
+        return {"run": run_id, "revision": n, "counts": counts}
 
     def advance(self, scope: str, expected: str | None, proposed: str) -> None:
         """Compare-and-set of a connector's cursor: revisions are files, so two writers cannot take the same step."""

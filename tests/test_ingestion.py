@@ -94,6 +94,49 @@ def test_store_guards(spark, tmp_path):
     assert store.profile("p") == {"a": 1} and store.profile("p", 2) is None
 
 
+def test_crash_right_after_the_manifest_counts_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", RESOURCES, "2026-01-01T10:00:00Z")
+    store = Store(spark, str(tmp_path / "store"))
+    create = Store._create
+
+    def dying(self, name, text):
+        create(self, name, text)
+        if name.startswith("manifest"):
+            raise KeyboardInterrupt
+
+    monkeypatch.setattr(Store, "_create", dying)
+    with pytest.raises(KeyboardInterrupt):
+        engine.ingest(store, drafts(spark, tmp_path / "in"), "r1")
+    monkeypatch.setattr(Store, "_create", create)
+    again = engine.ingest(store, drafts(spark, tmp_path / "in"), "r1")
+    assert again["revision"] == store.revision() == 1 and not any(again["counts"].values())
+    assert store.receipt("r1")["counts"]["edges_created"] == 8 and store.table("observation").count() == 6
+
+
+def test_only_an_existing_file_is_a_conflict(spark, tmp_path):
+    (tmp_path / "plain").write_text("a file where a folder is needed")
+    store = Store(spark, str(tmp_path / "plain"))
+    with pytest.raises(Exception) as e:
+        store._create("a/b.json", "{}")
+    assert not isinstance(e.value, Conflict)
+
+
+def test_intermediates_need_a_shared_folder_and_can_be_released(spark):
+    from types import SimpleNamespace
+
+    from tessera import storage
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: None), sparkContext=SimpleNamespace(master="spark://head:7077"))
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(far)
+    kept = storage.materialise(spark.range(3), "numbers")
+    assert kept.count() == 3
+    storage.release(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+
+
 def test_streaming_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
     write(tmp_path / "in", RESOURCES, "2026-01-01T10:00:00Z")
