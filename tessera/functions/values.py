@@ -116,6 +116,35 @@ def overlay_tags(stored: Column, incoming: Column, full: Column) -> Column:
     return F.when(full, incoming).otherwise(F.map_concat(kept, incoming))
 
 
+def tag_conflicts(first: Column, second: Column) -> Column:
+    """Sorted keys to which two observations of one instant give different values."""
+    both = F.map_zip_with(first, second, lambda k, a, b: a.isNotNull() & b.isNotNull() & (a != b))
+    return F.array_sort(F.map_keys(F.map_filter(both, lambda k, x: x)))
+
+
+#: Columns of a compact entity; prefix of stored properties, of their type tags, and the tag of JSON text.
+COMPACT = ("chain_id", "uuid", "entity_type", "name", "namespace", "version", "is_latest", "deleted_at")
+_PROPERTY, _TYPE, _JSON = "prop_", "property_type_", "j"
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """The columns of a compact entity, those that there are."""
+    return df.select(*(c for c in COMPACT if c in df.columns))
+
+
+def typed_record(record: Column) -> Column:
+    """``struct<properties, metadata, diagnostics>`` of a stored record ``map<string, string>``.
+
+    Properties lose their prefix; type tags and vectors go; JSON text that does not parse is named in ``diagnostics``.
+    """
+    own = F.map_filter(record, lambda k, v: k.startswith(_PROPERTY))
+    rest = F.map_filter(record, lambda k, v: ~k.startswith(_PROPERTY) & ~k.startswith(_TYPE) & ~k.isin("embedding", "summary_embedding"))
+    properties = F.transform_keys(own, lambda k, v: F.substr(k, F.lit(len(_PROPERTY) + 1)))
+    tag = lambda k: F.try_element_at(record, F.concat(F.lit(_TYPE), k))
+    broken = F.map_filter(properties, lambda k, v: tag(k).eqNullSafe(F.lit(_JSON)) & v.isNotNull() & F.try_parse_json(v).isNull())
+    return F.struct(properties.alias("properties"), rest.alias("metadata"), F.array_sort(F.map_keys(broken)).alias("diagnostics"))
+
+
 def labels(inherited: Column, own: Column) -> Column:
     """Inherited labels first, then new ones, each once."""
     return F.array_union(inherited, own)

@@ -22,6 +22,22 @@ def touching(edges: DataFrame, chains: DataFrame) -> DataFrame:
     return out.union(into).distinct()
 
 
+def of_slot(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """Edges of the reference slots ``(source_chain, slot)``."""
+    return edges.join(owners.select("source_chain", "slot").distinct(), ["source_chain", "slot"], "left_semi")
+
+
+def of_scope(edges: DataFrame, entities: DataFrame, namespaces: list[str]) -> DataFrame:
+    """Edges whose source is an entity of one of ``namespaces``."""
+    inside = entities.where(F.col("namespace").isin(*namespaces)).select(F.col("chain_id").alias("source_chain"))
+    return edges.join(inside, "source_chain", "left_semi")
+
+
+def evidence_of_time(edges: DataFrame) -> DataFrame:
+    """Adds ``time_evidence``: declared and reference edges without an end are ongoing; others say their end."""
+    return edges.withColumn("time_evidence", F.when(F.col("valid_to").isNull(), "ongoing").otherwise("declared"))
+
+
 def between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges of the directed ``(source_chain, target_chain)`` pairs."""
     return edges.join(pairs.select("source_chain", "target_chain").distinct(), ["source_chain", "target_chain"], "left_semi")

@@ -51,9 +51,34 @@ def bounded_search(edges: DataFrame, roots: DataFrame, depth: int, budget: int |
     return out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= budget).drop("r")
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, hops: int = 3, most: int = 10) -> DataFrame:
-    """``(start, end, length, path)``: up to ``most`` directed paths without a repeated node, shortest first, then by path."""
-    e = edges.select(F.col("source_chain").alias("a"), F.col("target_chain").alias("b")).distinct()
+def subgraph(edges: DataFrame, roots: DataFrame, depth: int, hop_limit: int, edge_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Chains ``(chain_id, distance)`` within ``depth`` undirected steps of any root, and up to ``edge_limit`` edges among them.
+
+    A hop takes at most ``hop_limit`` new chains (by id) and goes on from these alone; roots are never left out.  Edges
+    whose farther end is nearest come first, then by their ends.
+    """
+    pairs = materialise(undirected(edges), "pairs")
+    seen = materialise(roots.select("chain_id", F.lit(0).alias("distance")).distinct(), "reached")
+    front = seen
+    for d in range(1, depth + 1):
+        step = front.join(pairs, front.chain_id == pairs.a).select(F.col("b").alias("chain_id")).distinct().join(seen, "chain_id", "left_anti")
+        front = materialise(step.orderBy("chain_id").limit(hop_limit).withColumn("distance", F.lit(d)), "frontier")
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    a, b = (seen.select(F.col("chain_id").alias(c), F.col("distance").alias(f"d_{c}")) for c in ("source_chain", "target_chain"))
+    inside = edges.join(a, "source_chain").join(b, "target_chain").withColumn("distance", F.greatest("d_source_chain", "d_target_chain"))
+    return seen, inside.orderBy("distance", "source_chain", "target_chain").limit(edge_limit).select("source_chain", "target_chain", "distance")
+
+
+def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, hops: int = 3, most: int = 10, direction: str = "out") -> DataFrame:
+    """``(start, end, length, path)``: up to ``most`` paths without a repeated node, shortest first, then by path.
+
+    ``direction`` says which way edges are walked: ``out``, ``in`` or ``both``.
+    """
+    forth = edges.select(F.col("source_chain").alias("a"), F.col("target_chain").alias("b"))
+    back = edges.select(F.col("target_chain").alias("a"), F.col("source_chain").alias("b"))
+    e = {"out": forth, "in": back, "both": forth.union(back)}[direction].distinct()
     goal = ends.select(F.col("chain_id").alias("end")).distinct()
     walk = starts.select(F.array("chain_id").alias("path"), F.col("chain_id").alias("tip")).distinct()
     found = []

@@ -41,6 +41,22 @@ def sweep(members: DataFrame, observed: DataFrame, captured: Column) -> DataFram
     return missing.withColumn("action", F.when(F.col("last_seen_at") > captured, "protect").when(F.col("n_collections") > 1, "release").otherwise("delete"))
 
 
+def sweep_relationships(edges: DataFrame, key: str, generation: int, captured: Column) -> DataFrame:
+    """The fate of open edges whose membership ``collections array<struct<key, generation>>`` a complete scan of ``key`` left behind.
+
+    Seen later than the scan: protect.  Also member of another collection: release.  Not yet started: cancel.  Else: close.
+    """
+    behind = edges.where(F.exists("collections", lambda c: (c["key"] == key) & (c["generation"] < generation)))
+    shared = F.exists("collections", lambda c: c["key"] != key)
+    return behind.withColumn("action", F.when(F.col("last_seen_at") > captured, "protect").when(shared, "release").when(F.col("valid_from") > captured, "cancel").otherwise("close"))
+
+
+def sweepable(snapshots: DataFrame) -> DataFrame:
+    """Collections ``(key)`` whose scan may sweep: every snapshot ``(key, complete, failed, partial)`` of it complete, none
+    failed or partly extracted."""
+    return snapshots.groupBy("key").agg(F.bool_and(F.col("complete") & ~F.col("failed") & ~F.col("partial")).alias("whole")).where("whole").select("key")
+
+
 def stale_members(members: DataFrame, generation: int) -> DataFrame:
     """Members ``(chain_id, collections array<struct<key, generation>>)`` that an older generation of their collection saw."""
     return members.where(F.exists("collections", lambda c: c["generation"] < generation))

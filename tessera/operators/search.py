@@ -92,6 +92,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def relationship_similarity(edges: DataFrame, query: list[float], limit: int, least: float = -1.0, anchors: DataFrame | None = None) -> DataFrame:
+    """``(uuid, source_chain, target_chain, score, rank)``: the edges whose ``embedding`` is closest to one query vector.
+
+    Anchored requests keep edges at either end of ``anchors (chain_id)`` before any cosine is taken.  The order is cut by
+    a distributed top-k, so the window ranks ``limit`` rows.
+    """
+    if anchors is not None:
+        a = anchors.select("chain_id").distinct()
+        ends = [edges.join(a.withColumnRenamed("chain_id", c), c, "left_semi").select("uuid") for c in ("source_chain", "target_chain")]
+        edges = edges.join(ends[0].union(ends[1]).distinct(), "uuid", "left_semi")
+    same = edges.where(F.size("embedding") == len(query))
+    scored = same.select("uuid", "source_chain", "target_chain", cosine(F.col("embedding"), F.array(*map(F.lit, query))).alias("score"))
+    top = scored.where(F.col("score") >= least).orderBy(F.desc("score"), "uuid").limit(limit)
+    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "uuid")))
+
+
+def summaries(entities: DataFrame, t: Column, query: str, limit: int) -> DataFrame:
+    """Keyword recall over derived summaries in effect at ``t``: made by then, not past their ``summary_valid_until``."""
+    seen = entities.where(F.col("derived_summary").isNotNull() & (F.col("summary_as_of") <= t) & (F.col("summary_valid_until").isNull() | (t < F.col("summary_valid_until"))))
+    scored = seen.select("chain_id", relevance(F.col("derived_summary"), terms(query)).alias("score"))
+    return scored.where("score > 0").orderBy(F.desc("score"), "chain_id").limit(limit)
+
+
+def recall(recipe: Recipe, rows: DataFrame, key: str, name: str, texts: list[str], query: str, vector: str, embedded: list[float] | None = None) -> DataFrame:
+    """What a recipe finds: keyword and vector lists of four times its limit, fused by rank or chosen for diversity."""
+    wide = 4 * recipe.limit
+    lists = [keyword(rows, key, name, texts, query, wide)] if recipe.keyword else []
+    if recipe.vector and embedded is not None:
+        near = rows.where(F.size(vector) == len(embedded)).select(key, cosine(F.col(vector), F.array(*map(F.lit, embedded))).alias("score"), F.lit("vector").alias("method"))
+        lists.append(near.where(F.col("score") >= recipe.min_cosine).orderBy(F.desc("score"), key).limit(wide))
+    fused = fuse(lists, key, recipe.rrf_k)
+    if recipe.rerank == "mmr":
+        chosen = diversify(fused.join(rows.where(F.col(vector).isNotNull()).select(key, vector), key).withColumn("all", F.lit(0)), key, vector, recipe.mmr_lambda, recipe.limit, "all")
+        return chosen.select(key, F.col("mmr").alias("score"), "rank")
+    return fused.where(F.col("rank") <= recipe.limit).select(key, "score", "rank")
+
+
 def fuse(lists: list[DataFrame], key: str, k: float = 60.0, visible: DataFrame | None = None, pin: bool = True) -> DataFrame:
     """Reciprocal rank fusion of ``(key, score, method)`` lists: one vote a list, (k + 1) / (k + rank) / lists.
 

@@ -19,6 +19,11 @@ def state(snapshots: DataFrame, thread: str, order: list[str], snapshot: str, ca
     return snapshots.groupBy(thread).agg(F.min_by(snapshot, key).alias("first_snapshot"), F.max_by(snapshot, key).alias("last_snapshot"), F.count(F.lit(1)).alias("n_members"), F.min(captured).alias("first_captured_at"))
 
 
+def in_thread(snapshots: DataFrame, members: DataFrame, thread: DataFrame) -> DataFrame:
+    """Snapshots that belong to one of the threads ``thread (thread)``; ``members`` is ``(thread, snapshot)``."""
+    return snapshots.join(members.join(thread.select("thread").distinct(), "thread", "left_semi").select("snapshot"), "snapshot", "left_semi")
+
+
 def visible(states: DataFrame, t: Column) -> DataFrame:
     """Threads whose first capture is not after ``t``."""
     return states.where(F.col("first_captured_at") <= t)
