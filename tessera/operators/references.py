@@ -73,8 +73,12 @@ def composite(observed: DataFrame, groups: DataFrame) -> DataFrame:
 
     ``observed`` is ``(source, object_path, field, token)``, ``groups`` ``(chain_id, group_id, property, token, size)``.
     Every component needs a field of its own; a field named like a component with another value rejects the match.
+    A group is looked up by its rarest token alone, so a value that many groups have multiplies nothing.
     """
-    met = observed.join(groups, "token")
+    held = groups.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    anchors = groups.join(held, "token").groupBy("chain_id", "group_id").agg(F.min_by("token", F.struct("n", "property")).alias("token"))
+    near = observed.select("source", "object_path", "token").distinct().join(anchors, "token").drop("token")
+    met = near.join(groups, ["chain_id", "group_id"]).join(observed, ["source", "object_path", "token"])
     conflict = groups.select("chain_id", "group_id", F.col("property").alias("field"), F.col("token").alias("want"), "size")
     whole = met.groupBy("source", "object_path", "chain_id", "group_id", "size").agg(F.count_distinct("property").alias("components"), F.count_distinct("field").alias("fields"))
     whole = whole.where((F.col("components") == F.col("size")) & (F.col("fields") >= F.col("size")))
