@@ -10,9 +10,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+
+#: Column that marks rows of a delta which end the stored ones with their keys.
+GONE = "is_gone"
 
 
 class Conflict(RuntimeError):
@@ -56,9 +62,17 @@ class Store:
         return self._read(f"manifest/{n:012d}.json") if n else {"tables": {}, "generations": {}, "revision": 0}
 
     def table(self, name: str, revision: int | None = None) -> DataFrame | None:
-        """One table as of a commit."""
-        path = self.manifest(revision)["tables"].get(name)
-        return self.spark.read.parquet(f"{self.root}/{path}") if path else None
+        """One table as of a commit.  Of rows with equal keys the one of the last commit counts; rows marked GONE are no more."""
+        own = self.manifest(revision)["tables"].get(name)
+        if own is None:
+            return None
+        parts = [self.spark.read.parquet(f"{self.root}/{p}").withColumn("__commit", F.lit(n)) for n, p in enumerate(own["paths"])]
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        if own["keys"] and len(parts) > 1:
+            rows = rows.withColumn("__newest", F.max("__commit").over(W.partitionBy(*own["keys"]))).where("__commit = __newest").drop("__newest")
+        if GONE in rows.columns:
+            rows = rows.where(~F.coalesce(GONE, F.lit(False))).drop(GONE)
+        return rows.drop("__commit")
 
     def receipt(self, run_id: str) -> dict | None:
         """What a run committed, if it did: the manifest that names it."""
@@ -70,9 +84,11 @@ class Store:
         own = json.loads(found.value)
         return {"run": run_id, "revision": own["revision"], "counts": own["counts"]}
 
-    def commit(self, run_id: str, tables: dict[str, DataFrame], counts: dict, parent: int, generations: dict[str, int] | None = None) -> dict:
+    def commit(self, run_id: str, tables: dict[str, DataFrame], counts: dict, parent: int, generations: dict[str, int] | None = None, keys: dict[str, list[str]] | None = None) -> dict:
         """Write tables and publish them on top of ``parent``; a run that is committed commits nothing again.
 
+        Tables named in ``keys`` add their rows to the earlier ones, and a row replaces those with its keys (none: all
+        stay); other tables are replaced as a whole.
         ``generations`` claims collections: a newer generation takes over, an older or equal one of another run is refused.
         """
         if (done := self.receipt(run_id)) is not None:
@@ -86,8 +102,10 @@ class Store:
             claimed[key] = [run_id, generation]
         paths = dict(before["tables"])
         for name, df in tables.items():
-            paths[name] = f"state/{name}/{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.root}/{paths[name]}")
+            own = f"state/{name}/{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.root}/{own}")
+            before_it = paths[name]["paths"] if keys and name in keys and name in paths else []
+            paths[name] = {"paths": [*before_it, own], "keys": (keys or {}).get(name, [])}
         n = parent + 1
         self._create(f"manifest/{n:012d}.json", json.dumps({"tables": paths, "generations": claimed, "run": run_id, "revision": n, "counts": counts}))
         return {"run": run_id, "revision": n, "counts": counts}
