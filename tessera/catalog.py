@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import discovery, evidence, ingestion, reads, temporal  # noqa: F401  importing registers the queries
+from tessera.plans import discovery, evidence, ingested, ingestion, reads, temporal  # noqa: F401  importing registers the queries
 from tessera.plans.registry import ORACLES, QUERIES
 
 

@@ -41,7 +41,7 @@ def encode_json(value: Column) -> Column:
     return F.when(t == "n", F.lit("null")).when(t.isin("i", "f", "b", "j"), v).otherwise(quoted)
 
 
-def flatten_json(json: Column, depth: int = 4) -> Column:
+def flatten_json(json: Column, depth: int = 10) -> Column:
     """``map<path, tagged value>`` of a JSON object: dotted paths, arrays and empty objects kept whole as JSON.
 
     Objects deeper than ``depth`` stay JSON.  Every level is one pass over ``map<string,string>``; no Python.

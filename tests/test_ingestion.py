@@ -137,6 +137,62 @@ def test_intermediates_need_a_shared_folder_and_can_be_released(spark):
         spark.read.parquet(kept.inputFiles()[0]).count()
 
 
+def plain_drafts(spark, rows):
+    """``(type, name, keys, additional, properties, lifecycle, day[, snapshot])`` rows as drafts."""
+    shape = "entity_type string, name string, primary_key array<string>, additional_keys array<array<string>>, properties map<string,string>, lifecycle string, captured_at string, snapshot string"
+    df = spark.createDataFrame([(*r, r[1] if len(r) < 8 else r[7])[:8] for r in rows], shape)
+    return snapshots.usable_keys(df.withColumn("namespace", F.lit("ns")).withColumn("source", F.lit("s")).withColumn("captured_at", F.to_timestamp("captured_at")))
+
+
+def heads(store):
+    return {r.name: (r.version, r.deleted_at is not None) for r in store.table("entity_version").where("is_latest").collect()}
+
+
+def test_identity_conflicts_and_observations_that_change_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    one = lambda name, props, day, life="active", snap=None, alt=(("alias",),): ("t", name, ["id"], [list(a) for a in alt], props, life, f"2026-01-{day:02d}", snap or name)
+    run = lambda name, rows: engine.ingest(store, plain_drafts(spark, rows), name)
+    run("r1", [one("a", {"id": "1", "alias": "x"}, 1), one("b", {"id": "2", "alias": "y"}, 1), one("c", {"id": "3"}, 1)])
+    # a draft that is both stored chains at once is refused, with the other draft of its snapshot
+    second = run("r2", [one("ab", {"id": "1", "alias": "y"}, 2, snap="s1"), one("c", {"id": "3", "v": "new"}, 2, snap="s1"), one("d", {"id": "4"}, 2)])
+    assert second["outcomes"] == {"identity conflict": 2} and second["counts"]["entities_created"] == 1
+    assert heads(store) == {"a": (1, False), "b": (1, False), "c": (1, False), "d": (1, False)}
+    # older, disagreeing at one instant, deleting nothing
+    third = run("r3", [one("a", {"id": "1", "alias": "x", "v": "old"}, 1), one("b", {"id": "2", "alias": "y", "v": "1"}, 3), one("b", {"id": "2", "alias": "y", "v": "2"}, 3), one("e", {"id": "5"}, 3, "deleted"), one("d", {"id": "4"}, 1)])
+    assert third["outcomes"] == {"two contents at one time": 3, "ignored": 1, "stale": 1} and not any(third["counts"].values())
+    # the alternate key of a deleted chain does not bring it back; its primary key does
+    run("r4", [one("a", {"id": "1", "alias": "x"}, 4, "deleted")])
+    run("r5", [one("f", {"id": "6", "alias": "x"}, 5)])
+    assert heads(store)["a"] == (1, True) and heads(store)["f"] == (1, False)
+    run("r6", [one("a", {"id": "1"}, 6)])
+    assert heads(store)["a"] == (2, False)
+    assert store.table("observation").count() == 3 + 3 + 5 + 1 + 1 + 1
+
+
+def test_sweeps_orphans_and_woken_sources(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    one = lambda name, props, day, life="active": ("t" if "ref" not in name else "u", name, ["tid"] if "ref" not in name else ["uid"], [], props, life, f"2026-01-{day:02d}")
+    run = lambda name, rows, **kw: engine.ingest(store, plain_drafts(spark, rows), name, **kw)
+    scan = engine.Scan
+    run("r1", [one(n, {"tid": n}, 1) for n in "abc"], scan=scan("k", 1))
+    run("r2", [one("a", {"tid": "a"}, 2)], scan=scan("other", 1))
+    late = run("r3", [one("ref", {"uid": "r", "tid": "z"}, 2)])  # names what is not there yet
+    assert late["counts"]["edges_created"] == 0
+    woken = run("r4", [one("z", {"tid": "z"}, 3)])  # its key wakes the source, which is not in this run
+    assert woken["counts"]["edges_created"] == 1
+    partial = run("r5", [one("b", {"tid": "b"}, 4)], scan=scan("k", 2, whole=False))
+    assert partial["counts"]["entities_deleted"] == 0
+    swept = run("r6", [one("b", {"tid": "b"}, 5)], scan=scan("k", 3))  # c is gone, a is held by the other collection
+    assert swept["counts"]["entities_deleted"] == 1 and heads(store)["c"] == (1, True) and heads(store)["a"] == (1, False)
+    with pytest.raises(Conflict):
+        run("r7", [one("b", {"tid": "b"}, 6)], scan=scan("k", 2))
+    chain = {r.name: r.chain_id for r in store.table("entity_version").where("is_latest").collect()}
+    owned = spark.createDataFrame([(chain["z"], chain["ref"]), (chain["a"], chain["b"]), (chain["z"], chain["b"])], "parent string, child string")
+    dead = run("r8", [one("z", {"tid": "z"}, 7, "deleted")], owned=owned)  # takes its only child along, not the one with another parent
+    assert dead["counts"]["entities_deleted"] == 2 and heads(store)["ref"] == (1, True) and heads(store)["b"] == (1, False)
+    assert dead["counts"]["edges_closed"] == 1 and store.table("edge").count() == 0
+
+
 def test_streaming_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
     write(tmp_path / "in", RESOURCES, "2026-01-01T10:00:00Z")
