@@ -5,6 +5,9 @@ Tags: s string, i long, f double, b boolean, ts timestamp, j JSON text, n explic
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -145,6 +148,30 @@ def typed_record(record: Column) -> Column:
     return F.struct(properties.alias("properties"), rest.alias("metadata"), F.array_sort(F.map_keys(broken)).alias("diagnostics"))
 
 
+def uuid5(namespace: str, name: Column) -> Column:
+    """The name-based UUID (version 5, SHA-1) of a name in a namespace UUID, in lower case."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    at = lambda a, n: F.substring(h, a, n)
+    variant = F.lower(F.hex(F.conv(at(17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    return F.concat(at(1, 8), F.lit("-"), at(9, 4), F.lit("-5"), at(14, 3), F.lit("-"), variant, at(18, 3), F.lit("-"), at(21, 12))
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON with the keys of every object in order and no white space; null where the text is no JSON."""
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            try:
+                out.append(json.dumps(json.loads(row), sort_keys=True, separators=(",", ":"), ensure_ascii=False) if isinstance(row, str) else None)
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return run(text)
+
+
 def labels(inherited: Column, own: Column) -> Column:
     """Inherited labels first, then new ones, each once."""
     return F.array_union(inherited, own)

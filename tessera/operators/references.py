@@ -64,7 +64,7 @@ def decide(matches: DataFrame, observed: DataFrame) -> DataFrame:
 def structural(matches: DataFrame) -> DataFrame:
     """Adds ``structural``: the name test is run once for each distinct place, type and key group, then joined back."""
     triples = matches.select(plain_path(F.col("location")).alias("place"), "target_type", "key_group").distinct()
-    judged = triples.repartition("place").withColumn("structural", structural_reference(F.col("place"), F.col("target_type"), F.col("key_group")))
+    judged = triples.withColumn("structural", structural_reference(F.col("place"), F.col("target_type"), F.col("key_group")))
     return matches.withColumn("place", plain_path(F.col("location"))).join(judged, ["place", "target_type", "key_group"]).drop("place")
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 
 #: Query vectors that are broadcast together.
 AT_ONCE = 1000
+#: Hits of a list that are ranked at most: the depth of recall, cut by a distributed top-k before any window over everything.
+DEPTH = 10_000
 #: Excerpts: characters before the hit, and at most.
 BEFORE, EXCERPT = 256, 4096
 
@@ -132,11 +134,13 @@ def recall(recipe: Recipe, rows: DataFrame, key: str, name: str, texts: list[str
 def fuse(lists: list[DataFrame], key: str, k: float = 60.0, visible: DataFrame | None = None, pin: bool = True) -> DataFrame:
     """Reciprocal rank fusion of ``(key, score, method)`` lists: one vote a list, (k + 1) / (k + rank) / lists.
 
+    A list is its DEPTH best hits.
     Ranks are given before invisible hits go, so those promote nobody.  Exact hits come first, then score, then key.
     """
     votes = []
     for hits in lists:
         one = hits.groupBy(key).agg(F.max("score").alias("score"), F.bool_or((F.col("method") == "exact") & (F.col("score") >= 1)).alias("exact"))
+        one = one.orderBy(F.desc("score"), key).limit(DEPTH)
         rank = F.row_number().over(W.orderBy(F.desc("score"), key))
         votes.append(one.withColumn("vote", (k + 1) / (k + rank) / len(lists)))
     rows = reduce(DataFrame.unionByName, votes)
@@ -192,15 +196,15 @@ def diversify_names(candidates: DataFrame, key: str, name: str, weight: float, l
 
 
 def by_signal(hits: DataFrame, signal: DataFrame, key: str, column: str, ascending: bool = False) -> DataFrame:
-    """Hits reordered by a signal (observations, distance); chains without one come last."""
+    """The DEPTH first hits by a signal (observations, distance); chains without one come last."""
     s = F.col(column)
     order = [(s.asc_nulls_last() if ascending else s.desc_nulls_last()), F.desc("score"), F.col(key)]
-    return hits.join(signal, key, "left").withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    return hits.join(signal, key, "left").orderBy(*order).limit(DEPTH).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
 def budget_split(ranked: DataFrame, budget: int) -> DataFrame:
     """An even split of ``budget`` over ranked chains; the remainder goes to the first ones, chains beyond it get none."""
-    n = F.least(F.count(F.lit(1)).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), F.lit(budget))
+    n = F.lit(min(budget, max(1, ranked.limit(budget).count())))
     share = F.floor(F.lit(budget) / n) + F.when(F.col("rank") <= F.lit(budget) % n, 1).otherwise(0)
     return ranked.withColumn("share", F.when(F.col("rank") <= n, share).otherwise(0))
 
@@ -213,7 +217,7 @@ def fair_selection(items: DataFrame, request: str, limit: int) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups = [g.sort_values("position")["item"].tolist() for _, g in pdf.groupby("grp", sort=True)]
+        groups = [g.sort_values("position")["item"].drop_duplicates().tolist() for _, g in pdf.groupby("grp", sort=True)]
         chosen: list = []
         for turn in range(1, limit + 1):
             for g in groups:

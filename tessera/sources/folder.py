@@ -26,26 +26,38 @@ def stream(spark: SparkSession, root: str, files_per_trigger: int = 100) -> Data
     return reader.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select(F.col("value").alias("text"))
 
 
-def _problem(e: Column, keys: Column) -> Column:
-    """The first rule an envelope breaks, never with its values; null if it is fine."""
-    arn = F.split(e["resourceArn"], ":", 6)
-    part = lambda i: F.coalesce(F.try_element_at(arn, F.lit(i)), F.lit(""))
-    blank = F.lit(False)
-    for f in ("resourceArn", "resourceId", "resourceType", "accountId"):
-        blank = blank | e[f].isNull() | (F.trim(e[f]) == "")
+#: The codes of an envelope's rejection, in the order in which they are looked for.
+CODES = (
+    "invalid_resource_envelope", "invalid_resource_identity", "invalid_resource_account", "invalid_resource_region", "invalid_resource_arn",
+    "resource_arn_scope_mismatch", "invalid_capture_time", "invalid_resource_lifecycle", "invalid_resource_name", "invalid_resource_object",
+)
+
+
+def _broken(e: Column, keys: Column) -> dict[str, Column]:
+    """For each code whether an envelope has that fault."""
+    required, allowed = F.array(*map(F.lit, _FIELDS)), F.array(*map(F.lit, _FIELDS + _OPTIONAL))
+    missing = lambda c: c.isNull() | (F.trim(c) == "")
+    scheme, partition, service, region, account, resource = (F.coalesce(F.try_element_at(F.split(e["resourceArn"], ":", 6), F.lit(i)), F.lit("")) for i in range(1, 7))
+    other = lambda own, said: (own != "") & (own != said)
     payload = F.json_object_keys(e["payload"])
-    return (
-        F.when(keys.isNull() | (F.size(F.array_except(F.array(*map(F.lit, _FIELDS)), keys)) > 0) | (F.size(F.array_except(keys, F.array(*map(F.lit, _FIELDS + _OPTIONAL)))) > 0), "invalid_resource_envelope")
-        .when(blank, "invalid_resource_identity")
-        .when(~e["accountId"].rlike("^[0-9]{12}$"), "invalid_resource_account")
-        .when(e["awsRegion"].isNull() | ~e["awsRegion"].rlike("^[a-z0-9-]*$"), "invalid_resource_region")
-        .when((F.size(arn) != 6) | (part(1) != "arn") | (part(2) == "") | (part(3) == "") | (part(6) == "") | e["resourceArn"].rlike(r"[\s*?]"), "invalid_resource_arn")
-        .when(((part(4) != "") & (part(4) != e["awsRegion"])) | ((part(5) != "") & (part(5) != e["accountId"])), "resource_arn_scope_mismatch")
-        .when(F.try_to_timestamp(e["capturedAt"]).isNull(), "invalid_capture_time")
-        .when(~F.coalesce(e["lifecycle"], F.lit("active")).isin("active", "deleted"), "invalid_resource_lifecycle")
-        .when(F.trim(F.coalesce(e["resourceName"], e["resourceId"])) == "", "invalid_resource_name")
-        .when(payload.isNull() | F.exists(payload, lambda k: k.rlike(rf"^({SCOPE}|{IDENTITY})(\.|$)")), "invalid_resource_object")
-    )
+    return {
+        "invalid_resource_envelope": keys.isNull() | (F.size(F.array_except(required, keys)) + F.size(F.array_except(keys, allowed)) > 0),
+        "invalid_resource_identity": missing(e["resourceArn"]) | missing(e["resourceId"]) | missing(e["resourceType"]) | missing(e["accountId"]),
+        "invalid_resource_account": ~e["accountId"].rlike("^[0-9]{12}$"),
+        "invalid_resource_region": ~F.coalesce(e["awsRegion"].rlike("^[a-z0-9-]*$"), F.lit(False)),
+        "invalid_resource_arn": (scheme != "arn") | (partition == "") | (service == "") | (resource == "") | e["resourceArn"].rlike(r"[\s*?]"),
+        "resource_arn_scope_mismatch": other(region, e["awsRegion"]) | other(account, e["accountId"]),
+        "invalid_capture_time": F.try_to_timestamp(e["capturedAt"]).isNull(),
+        "invalid_resource_lifecycle": ~F.coalesce(e["lifecycle"], F.lit("active")).isin("active", "deleted"),
+        "invalid_resource_name": F.trim(F.coalesce(e["resourceName"], e["resourceId"])) == "",
+        "invalid_resource_object": payload.isNull() | F.exists(payload, lambda k: k.rlike(rf"^({SCOPE}|{IDENTITY})(\.|$)")),
+    }
+
+
+def _problem(e: Column, keys: Column) -> Column:
+    """The first of CODES that applies, never with the envelope's values; null if it is fine."""
+    faults = _broken(e, keys)
+    return F.coalesce(*(F.when(faults[code], code) for code in CODES))
 
 
 def envelopes(files: DataFrame) -> DataFrame:

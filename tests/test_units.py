@@ -281,3 +281,52 @@ def test_overlap_score(spark):
     df = spark.createDataFrame([("é-1", "é-2"), (None, "x"), ("aba", "aba-aba")], "a string, b string")
     got = [r[0] for r in df.select(names.overlap_score(F.col("a"), F.col("b"))).collect()]
     assert round(got[0], 4) == 0.75 and got[1] is None and round(got[2], 4) == round(3 / 7, 4)
+
+
+def test_uuid5_and_canonical_json(spark):
+    import uuid
+
+    texts = ["", "a", "é/x", None, '{"b": [1, {"d": 1, "c": "x y"}], "a": null}', "[1, 2"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", values.uuid5(str(uuid.NAMESPACE_URL), F.col("t")).alias("u"), values.canonical_json(F.col("t")).alias("j")).collect()
+    assert all(r.u == (None if r.t is None else str(uuid.uuid5(uuid.NAMESPACE_URL, r.t))) for r in rows)
+    assert [r.j for r in rows] == [None, None, None, None, '{"a":null,"b":[1,{"c":"x y","d":1}]}', None]
+
+
+def test_diversity_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(g, i, [rng.uniform(-1, 1) for _ in range(4)], rng.random()) for g in range(6) for i in range(rng.randint(1, 9))]
+    df = spark.createDataFrame(rows, "grp int, item int, v array<double>, score double")
+    got = {}
+    for r in search.diversify(df, "item", "v", 0.6, 5, "grp").collect():
+        got.setdefault(r.grp, []).append((r["rank"], r.item, round(r.mmr, 9)))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    cos = lambda a, b: min(1.0, max(0.0, dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5))
+    for g in got:
+        left, chosen, want = [r for r in rows if r[0] == g], [], []
+        while left and len(chosen) < 5:
+            worth = {r[1]: 0.6 * r[3] - 0.4 * max([cos(r[2], c[2]) for c in chosen], default=0.0) for r in left}
+            best = max(left, key=lambda r: (worth[r[1]], -r[1]))
+            want.append((len(chosen) + 1, best[1], round(worth[best[1]], 9)))
+            chosen.append(best)
+            left.remove(best)
+        assert sorted(got[g]) == want
+
+
+def test_fair_selection_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(q, g, rng.choice("abcdefghijkl"), p) for q in range(20) for g in "xyz"[: rng.randint(1, 3)] for p in range(rng.randint(1, 6))]
+    df = spark.createDataFrame(rows, "request int, grp string, item string, position int")
+    got = {}
+    for r in search.fair_selection(df, "request", 7).collect():
+        got.setdefault(r.request, set()).add(r.item)
+    for q in range(20):
+        groups, chosen = {}, []
+        for _, g, item, p in sorted((r for r in rows if r[0] == q), key=lambda r: (r[1], r[3])):
+            groups.setdefault(g, []).append(item)
+        for turn in range(1, 8):
+            for g in sorted(groups):
+                free = [i for i in groups[g] if i not in chosen]
+                if free and len(chosen) < 7 and len({i for i in groups[g] if i in chosen}) < turn:
+                    chosen.append(free[0])
+        assert got[q] == set(chosen)
