@@ -335,24 +335,38 @@ def _chained(rows: DataFrame) -> DataFrame:
 
 
 def _wholes(chained: DataFrame, runs: DataFrame) -> DataFrame:
-    """``(k, d0, rk, r0, lo, hi, size)`` of whole stretches in an earlier document that no chain is aligned in."""
+    """``(k, d0, rk, r0, lo, hi, size)`` of whole stretches in an earlier document that no chain is aligned in.
+
+    Neighbouring stretches that lie alike in one earlier document are one run.  Longer runs come first, and a run whose
+    words all lie in others is left out: every word of it is found with them.
+    """
     have = chained.select("k", F.col("d0").alias("pos"), "rk", F.col("r0").alias("rpos"), F.lit(True).alias("chain"))
     links = whole_matches(runs).withColumn("chain", F.lit(False)).unionByName(have)
-    links = links.groupBy("k", "rk").agg(F.collect_list(F.struct("pos", "rpos", "chain")).alias("m")).where(F.exists("m", lambda x: ~x["chain"]))
-    links = links.select("k", "rk", *[F.col(f"m.{c}").alias(c) for c in ("pos", "rpos", "chain")])
+    links = links.groupBy("k").agg(F.collect_list(F.struct("rk", "pos", "rpos", "chain")).alias("m")).where(F.exists("m", lambda x: ~x["chain"]))
+    links = links.select("k", *[F.col(f"m.{c}").alias(c) for c in ("rk", "pos", "rpos", "chain")])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
             for k, rk, pos, rpos, chain in zip(pdf["k"], pdf["rk"], pdf["pos"], pdf["rpos"], pdf["chain"], strict=True):
-                chain = chain.astype(bool)
-                aligned = list(zip(pos[chain].tolist(), (pos - rpos)[chain].tolist(), strict=True))
-                pos, side = pos[~chain], (pos - rpos)[~chain]
-                order = np.lexsort((pos, side))
-                for own in np.split(order, np.flatnonzero((np.diff(side[order]) != 0) | (np.diff(pos[order]) > 1)) + 1):
-                    a, b, d = int(pos[own[0]]), int(pos[own[-1]]) + MIN_WORDS, int(side[own[0]])
-                    if not any(a <= p < b and d == q for p, q in aligned):
-                        out.append(_request(k, rk, ((a + b) // 2, (a + b) // 2 - d), a - d, b - d, b - a))
+                chain, side = chain.astype(bool), pos - rpos
+                aligned: dict[tuple[int, int], list[int]] = {}
+                for r, d, p in zip(rk[chain].tolist(), side[chain].tolist(), pos[chain].tolist(), strict=True):
+                    aligned.setdefault((r, d), []).append(p)
+                rk, pos, side = rk[~chain], pos[~chain], side[~chain]
+                by = np.lexsort((pos, side, rk))
+                rk, pos, side = rk[by], pos[by], side[by]
+                cut = np.flatnonzero((np.diff(rk) != 0) | (np.diff(side) != 0) | (np.diff(pos) > 1)) + 1
+                first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(pos)]]) - 1
+                start, end = pos[first], pos[last] + MIN_WORDS
+                covered = np.zeros(int(end.max()), bool)
+                for n in np.lexsort((rk[first], start, start - end)):
+                    a, b, r, d = int(start[n]), int(end[n]), int(rk[first[n]]), int(side[first[n]])
+                    if covered[a:b].all():
+                        continue
+                    covered[a:b] = True
+                    if not any(a <= p < b for p in aligned.get((r, d), ())):
+                        out.append(_request(k, r, ((a + b) // 2, (a + b) // 2 - d), a - d, b - d, b - a))
             yield pd.DataFrame(out, columns=["k", "d0", "rk", "r0", "lo", "hi", "size"])
 
     return links.mapInPandas(run, REQUEST)
