@@ -334,11 +334,27 @@ def _chained(rows: DataFrame) -> DataFrame:
     return linked.mapInPandas(run, REQUEST + ", start int, words array<long>")
 
 
+def cover(start: np.ndarray, end: np.ndarray) -> list[int]:
+    """The fewest of the ranges that together hold all that they all hold, from left to right."""
+    by, out = np.lexsort((-end, start)).tolist(), []
+    reach, best = -1, -1
+    for n in [*by, -1]:
+        if best >= 0 and (n < 0 or start[n] > reach):  # no other range starts inside what is held: take the farthest
+            out.append(best)
+            reach, best = int(end[best]), -1
+        if n >= 0:
+            if start[n] > reach:
+                reach = int(start[n])
+            if end[n] > reach and (best < 0 or end[n] > end[best]):
+                best = n
+    return out
+
+
 def _wholes(chained: DataFrame, runs: DataFrame) -> DataFrame:
     """``(k, d0, rk, r0, lo, hi, size)`` of whole stretches in an earlier document that no chain is aligned in.
 
-    Neighbouring stretches that lie alike in one earlier document are one run.  Longer runs come first, and a run whose
-    words all lie in others is left out: every word of it is found with them.
+    Neighbouring stretches that lie alike in one earlier document are one run.  As few runs are taken as hold all words of
+    all runs: texts that repeat a line have a run for every word, and nearly all of them say the same.
     """
     have = chained.select("k", F.col("d0").alias("pos"), "rk", F.col("r0").alias("rpos"), F.lit(True).alias("chain"))
     links = whole_matches(runs).withColumn("chain", F.lit(False)).unionByName(have)
@@ -359,12 +375,8 @@ def _wholes(chained: DataFrame, runs: DataFrame) -> DataFrame:
                 cut = np.flatnonzero((np.diff(rk) != 0) | (np.diff(side) != 0) | (np.diff(pos) > 1)) + 1
                 first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(pos)]]) - 1
                 start, end = pos[first], pos[last] + MIN_WORDS
-                covered = np.zeros(int(end.max()), bool)
-                for n in np.lexsort((rk[first], start, start - end)):
+                for n in cover(start, end):
                     a, b, r, d = int(start[n]), int(end[n]), int(rk[first[n]]), int(side[first[n]])
-                    if covered[a:b].all():
-                        continue
-                    covered[a:b] = True
                     if not any(a <= p < b for p in aligned.get((r, d), ())):
                         out.append(_request(k, r, ((a + b) // 2, (a + b) // 2 - d), a - d, b - d, b - a))
             yield pd.DataFrame(out, columns=["k", "d0", "rk", "r0", "lo", "hi", "size"])

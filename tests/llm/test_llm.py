@@ -498,6 +498,19 @@ def test_passages_with_a_replaced_phrase():
         assert [(s, e) for s, e, *_ in passages.passages(a, b, (at, at))] == [(0, len(a))]
 
 
+def test_cover_takes_the_fewest_ranges():
+    from itertools import combinations
+
+    rng = random.Random(4)
+    for _ in range(300):
+        start = np.array([rng.randrange(20) for _ in range(rng.randint(1, 7))])
+        end = start + np.array([rng.randint(1, 9) for _ in start])
+        held = lambda some: {w for n in some for w in range(start[n], end[n])}
+        want = next(k for k in range(1, 9) if any(held(c) == held(range(len(start))) for c in combinations(range(len(start)), k)))
+        got = passages.cover(start, end)
+        assert held(got) == held(range(len(start))) and len(got) == want
+
+
 def test_frequent_stretches_take_the_other_route(docs, monkeypatch):
     runs = passages._chained(passages._rows(docs, "doc_id", "text")).where("words is not null").select("k", "start", "words")
     want = {tuple(r) for r in passages.whole_matches(runs).collect()}
