@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.names import plain_path, slot, structural_reference
+from tessera.storage import materialise
 
 #: Carriers of one value that a lookup returns at most; one more proves that it was cut.
 CARRIERS = 8
+#: Tokens of an object that is looked up by all subsets of its tokens (at most 2 ** NARROW).
+NARROW = 6
 
 
 def scan(values: DataFrame, most: int = 128) -> DataFrame:
@@ -68,22 +73,80 @@ def structural(matches: DataFrame) -> DataFrame:
     return matches.withColumn("place", plain_path(F.col("location"))).join(judged, ["place", "target_type", "key_group"]).drop("place")
 
 
+def objects(observed: DataFrame) -> DataFrame:
+    """``(source, object_path, fields)`` of observed fields ``(source, object_path, field, token)``: one row an object."""
+    return observed.groupBy("source", "object_path").agg(F.collect_set(F.struct("field", "token")).alias("fields"))
+
+
+def key_groups(groups: DataFrame) -> DataFrame:
+    """``(chain_id, group_id, size, parts)`` of components ``(chain_id, group_id, property, token, size)``: one row a group."""
+    return groups.groupBy("chain_id", "group_id", "size").agg(F.collect_set(F.struct("property", "token")).alias("parts"))
+
+
 def composite(observed: DataFrame, groups: DataFrame) -> DataFrame:
+    """:func:`complete` over single fields ``(source, object_path, field, token)`` and components ``(chain_id, group_id, property, token, size)``."""
+    return complete(objects(observed), key_groups(groups))
+
+
+def complete(seen: DataFrame, wholes: DataFrame) -> DataFrame:
     """``(source, object_path, chain_id, group_id)``: key groups completed by sibling fields of one object.
 
-    ``observed`` is ``(source, object_path, field, token)``, ``groups`` ``(chain_id, group_id, property, token, size)``.
-    Every component needs a field of its own; a field named like a component with another value rejects the match.
-    A group is looked up by its rarest token alone, so a value that many groups have multiplies nothing.
+    ``seen`` is ``(source, object_path, fields array<struct<field, token>>)``, a row an object, ``wholes`` ``(chain_id,
+    group_id, size, parts array<struct<property, token>>)``, a row a group.  Every component needs a field of its own; a
+    field named like a component with another value rejects the match.
+
+    Objects of at most NARROW tokens are looked up by their sets of tokens, so they meet only groups all of whose tokens
+    they have.  Wider ones collect a group's tokens one after the other, the rarest first.  What many groups share
+    multiplies nothing on either way.
     """
-    held = groups.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    anchors = groups.join(held, "token").groupBy("chain_id", "group_id").agg(F.min_by("token", F.struct("n", "property")).alias("token"))
-    near = observed.select("source", "object_path", "token").distinct().join(anchors, "token").drop("token")
-    met = near.join(groups, ["chain_id", "group_id"]).join(observed, ["source", "object_path", "token"])
-    conflict = groups.select("chain_id", "group_id", F.col("property").alias("field"), F.col("token").alias("want"), "size")
-    whole = met.groupBy("source", "object_path", "chain_id", "group_id", "size").agg(F.count_distinct("property").alias("components"), F.count_distinct("field").alias("fields"))
-    whole = whole.where((F.col("components") == F.col("size")) & (F.col("fields") >= F.col("size")))
-    named = whole.join(conflict.drop("size"), ["chain_id", "group_id"]).join(observed, ["source", "object_path", "field"]).where(F.col("token") != F.col("want"))
-    return whole.join(named.select("source", "object_path", "chain_id", "group_id").distinct(), ["source", "object_path", "chain_id", "group_id"], "left_anti").select("source", "object_path", "chain_id", "group_id")
+    tokens = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.transform(c, lambda x: x["token"]))))
+    seen, wholes = seen.withColumn("tokens", tokens("fields")), wholes.withColumn("tokens", tokens("parts"))
+    narrow, wide = seen.where(F.size("tokens") <= NARROW), seen.where(F.size("tokens") > NARROW)
+    sizes = sorted(r.n for r in wholes.select(F.size("tokens").alias("n")).where("n > 0").distinct().collect())  # as many as kinds of keys
+    met = []
+    if fit := [n for n in sizes if n <= NARROW]:
+        asked = narrow.select("source", "object_path", "fields", F.explode(_subsets(F.col("tokens"), fit)).alias("tokens"))
+        met.append(asked.join(wholes, "tokens"))
+    if sizes and not wide.isEmpty():
+        met.append(_collected(wide, wholes, sizes[-1]))
+    if not met:
+        return seen.join(wholes, F.lit(False)).select("source", "object_path", "chain_id", "group_id")
+    found = F.filter("parts", lambda p: F.exists("fields", lambda f: f["token"] == p["token"]))
+    used = F.filter("fields", lambda f: F.exists("parts", lambda p: f["token"] == p["token"]))
+    components, own = F.size(F.array_distinct(found["property"])), F.size(F.array_distinct(used["field"]))
+    conflict = F.exists("parts", lambda p: F.exists("fields", lambda f: F.coalesce((f["field"] == p["property"]) & (f["token"] != p["token"]), F.lit(False))))
+    whole = (components == F.col("size")) & (own >= F.col("size")) & ~conflict
+    return reduce(DataFrame.unionByName, [m.where(whole).select("source", "object_path", "chain_id", "group_id") for m in met])
+
+
+def _subsets(tokens: Column, sizes: list[int]) -> Column:
+    """The sorted subsets of at most NARROW sorted tokens that have one of ``sizes``."""
+    if sizes == [1]:
+        return F.transform(tokens, lambda t: F.array(t))
+    if sizes == [2]:
+        pairs = F.transform(tokens, lambda a, i: F.transform(F.slice(tokens, i + 2, NARROW), lambda b: F.array(a, b)))
+        return F.flatten(pairs)
+    every = F.aggregate(tokens, F.array(F.array().cast("array<string>")), lambda sets, t: F.concat(sets, F.transform(sets, lambda s: F.array_append(s, t))))
+    return F.filter(every, lambda s: F.size(s).isin(*sizes))
+
+
+def _collected(wide: DataFrame, wholes: DataFrame, longest: int) -> DataFrame:
+    """Objects with the groups all of whose tokens they have.  A step joins what an object holds of some group with its
+    other tokens and keeps what goes on in a group, so an object meets each common start of groups once."""
+    each = wholes.select("chain_id", "group_id", "size", F.explode("tokens").alias("token"))
+    held = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ways = each.join(held, "token").groupBy("chain_id", "group_id", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("way"))
+    ways = materialise(ways.join(wholes.select("chain_id", "group_id", "size", "parts"), ["chain_id", "group_id", "size"]), "ways")
+    known = ways.select(F.explode("way").alias("token")).distinct()
+    have = materialise(wide.select("source", "object_path", F.explode("tokens").alias("token")).join(known, "token", "left_semi"), "tokens")
+    at = have.select("source", "object_path", F.array("token").alias("held"))
+    done = []
+    for n in range(1, longest + 1):
+        starts = ways.select(F.slice("way", 1, n).alias("held")).where(F.size("held") == n).distinct()
+        at = materialise(at.join(starts, "held", "left_semi"), "held")
+        done.append(at.join(ways.where(F.size("way") == n).withColumnRenamed("way", "held"), "held").drop("held"))
+        at = at.join(have, ["source", "object_path"]).where(~F.array_contains("held", F.col("token"))).select("source", "object_path", F.array_append("held", F.col("token")).alias("held"))
+    return reduce(DataFrame.unionByName, done).join(wide.select("source", "object_path", "fields"), ["source", "object_path"])
 
 
 def guided(values: DataFrame, mappings: DataFrame, index: DataFrame) -> DataFrame:

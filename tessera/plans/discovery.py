@@ -167,12 +167,13 @@ def composite_key_edges(spark, sf):
     """Two-part keys (part, supplier) of returned lines: both components must be found among the fields of one line."""
     lines = table(spark, sf, "lineitem")
     part, supp = F.concat(F.lit("part:"), F.col("l_partkey").cast("string")), F.concat(F.lit("supp:"), F.col("l_suppkey").cast("string"))
-    both = F.explode(F.array(F.struct(F.lit("partkey").alias("field"), part.alias("token")), F.struct(F.lit("suppkey").alias("field"), supp.alias("token"))))
+    pair = lambda name: F.array(*(F.struct(F.lit(n).alias(name), token.alias("token")) for n, token in (("partkey", part), ("suppkey", supp))))
     line = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    observed = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source"), line.alias("object_path"), both.alias("e")).select("source", "object_path", "e.*").distinct()
+    seen = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source"), line.alias("object_path"), pair("field").alias("fields"))
     target = F.concat(F.lit("ps:"), F.col("l_partkey").cast("string"), F.lit(":"), F.col("l_suppkey").cast("string"))
-    groups = lines.where("l_returnflag = 'R'").select(target.alias("chain_id"), both.alias("e")).select("chain_id", F.lit(1).alias("group_id"), F.col("e.field").alias("property"), "e.token", F.lit(2).alias("size")).distinct()
-    return references.composite(observed, groups).select("source", "chain_id").distinct()
+    returned = lines.where("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct()
+    wholes = returned.select(target.alias("chain_id"), F.lit(1).alias("group_id"), F.lit(2).alias("size"), pair("property").alias("parts"))
+    return references.complete(seen, wholes).select("source", "chain_id").distinct()
 
 
 @query("""select 'nation:' || c_nationkey as source_chain, 'customer:' || c_custkey as target_chain, 'HAS_CUSTOMER' as name, 'customer.c_nationkey' as slot, 'one' as cardinality from customer

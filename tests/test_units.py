@@ -97,6 +97,29 @@ def test_composite_keys_need_their_own_fields(spark):
     assert [(r.source, r.chain_id) for r in references.composite(seen, groups).collect()] == [("p", "t")]
 
 
+@pytest.mark.parametrize("extra", [0, 9])
+def test_composite_keys_meet_only_groups_that_are_whole(spark, extra):
+    """A grid of 30 x 30 keys, all tokens shared by 30 groups: as many candidates as matches, for narrow and wide objects."""
+    groups = [(f"k{a}-{b}", 1, p, t, 2) for a in range(30) for b in range(30) for p, t in (("a", f"a:{a}"), ("b", f"b:{b}"))]
+    groups += [("tri", 1, p, t, 3) for p, t in (("a", "a:3"), ("b", "b:4"), ("c", "c:1"))] + [("one", 1, "d", "d:1", 1)]
+    seen = [(s, "o", f, t) for s in range(60) for f, t in [("a", f"a:{s % 30}"), ("b", f"b:{s % 31}"), ("c", f"c:{s % 5}"), ("e", f"d:{s % 7}"), *((f"x{i}", f"x:{i}") for i in range(extra))]]
+    seen, groups = spark.createDataFrame(seen, "source long, object_path string, field string, token string"), spark.createDataFrame(groups, "chain_id string, group_id int, property string, token string, size int")
+    found = references.composite(seen, groups)
+    want = {(s, f"k{s % 30}-{s % 31}") for s in range(60) if s % 31 < 30} | {(s, "one") for s in range(60) if s % 7 == 1} | {(s, "tri") for s in range(60) if (s % 30, s % 31, s % 5) == (3, 4, 1)}
+    assert sorted((r.source, r.chain_id) for r in found.collect()) == sorted(want)
+    most = []
+
+    def visit(node):
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            most.append(node.metrics().apply("numOutputRows").value())
+        inner = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if "QueryStage" in node.nodeName() else None
+        for child in [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]:
+            visit(child)
+
+    visit(found._jdf.queryExecution().executedPlan())
+    assert most and max(most) <= 4 * len(want)
+
+
 def test_fold_state_machine(spark):
     e = [(1, 1, 0, True, False, {"a": "1"}), (1, 2, 0, False, False, {"b": "2"}), (1, 3, 0, True, True, {}), (1, 3, 1, True, False, {"a": "1"}), (1, 4, 0, True, False, {"a": "1"}), (2, 1, 0, True, True, {}), (3, 1, 0, True, False, {"a": "1"}), (3, 1, 1, True, False, {"a": "2"})]
     df = spark.createDataFrame([(*x, []) for x in e], "chain_id int, captured_at int, idx int, full boolean, deleted boolean, props map<string,string>, loose array<string>")
