@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Query vectors that are broadcast together.
-AT_ONCE = 1000
+#: Vectors and query vectors that meet in one task.
+ROWS, AT_ONCE = 10_000, 2_000
+#: Slack of scores by matrix product, far above their error: what is within it is measured.
+NEAR = 1e-9
 #: Hits of a list that are ranked at most: the depth of recall, cut by a distributed top-k before any window over everything.
 DEPTH = 10_000
 #: Excerpts: characters before the hit, and at most.
@@ -73,25 +76,85 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of the rows of ``x`` and ``y``, summed from the first component on as :func:`cosine` does."""
+    total = np.zeros(len(x))
+    for i in range(x.shape[1]):
+        total += x[:, i] * y[:, i]
+    return total
+
+
+def _block(keys: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(query, row, score)`` of the ``k`` best rows ``x`` for each of the queries ``q``, by place.
+
+    A matrix product finds what comes near the k-th best; only that is measured.  Of equal vectors the k + 1 smallest keys
+    can be among the best.  A NaN is larger than any number, as to SQL.
+    """
+    lengths = [_dot(v, v) for v in (x, q)]
+    order = np.argsort(keys, kind="stable")
+    copies = pd.Series([x[i].tobytes() for i in order], dtype=object)
+    order = order[(copies.groupby(copies).cumcount() <= k).to_numpy()]
+    none, finite = ([n == 0 for n in lengths], [np.isfinite(n) for n in lengths])
+    units = [v / np.sqrt(n)[:, None] for v, n in ((x[order], lengths[0][order]), (q, lengths[1]))]
+    for start in range(0, len(q), 256):
+        some = np.arange(start, min(start + 256, len(q)))
+        near = units[1][some] @ units[0].T
+        near[np.isnan(near)] = np.inf
+        near[own[some][:, None] == keys[order][None, :]] = -np.inf
+        near[np.ix_(finite[1][some], none[0][order])] = near[np.ix_(none[1][some], finite[0][order])] = -np.inf  # a division by zero
+        bound = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
+        i, j = np.nonzero((near >= np.maximum(bound, least)[:, None] - NEAR) & (near > -np.inf))
+        i, j = some[i], order[j]
+        score = np.concatenate([np.zeros(0), *(_dot(x[j[n : n + 65536]], q[i[n : n + 65536]]) for n in range(0, len(i), 65536))])
+        score /= np.sqrt(lengths[0][j]) * np.sqrt(lengths[1][i])
+        good = np.isnan(score) | (score >= least)
+        found = pd.DataFrame({"i": i[good], "j": j[good], "score": score[good]})
+        found = found.sort_values(["i", "score"], ascending=[True, False], kind="stable", na_position="first")
+        found = found[found.groupby("i").cumcount() < k]
+        yield found["i"].to_numpy(), found["j"].to_numpy(), found["score"].to_numpy()
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, least: float = -1.0, scope: str | None = None) -> DataFrame:
     """``(query, key, score, rank)``: exact cosine top-k of each query over all vectors, optionally within a scope.
 
-    Queries are a stated set, taken in blocks of about AT_ONCE: a block's vectors are gathered into one broadcast row of
-    arrays per scope and every table row meets that row once, so the table is neither shuffled nor paired with itself.
+    Rows and queries are dealt into blocks of about ROWS and AT_ONCE, and every block of rows meets every block of queries
+    in one task that keeps the ``k`` best of each query, so memory is bounded by the blocks and each pair costs one
+    product of a matrix.  Vectors that are null, hold a null, or have another size or a norm of zero are near to nothing.
     """
-    parts = max(1, -(-queries.count() // AT_ONCE))
-    rows = vectors.select(key, vector, *([scope] if scope else []))
-    scored = None
-    for part in range(parts):
-        q = queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).select(F.col(key).alias("query"), F.col(vector).alias("q"), *([F.col(scope)] if scope else []))
-        packed = F.broadcast(q.groupBy(*([scope] if scope else [])).agg(F.collect_list(F.struct("query", "q")).alias("asked")))
-        met = rows.join(packed, scope) if scope else rows.join(packed)
-        score = F.transform("asked", lambda x: F.struct(x["query"].alias("query"), cosine(F.col(vector), x["q"]).alias("score")))
-        one = met.select(key, F.explode(score).alias("s")).select(key, "s.*")
-        scored = one if scored is None else scored.union(one)
-    scored = scored.where((F.col("score") >= least) & (F.col(key) != F.col("query")))
+    whole = F.col(vector).isNotNull() & F.col(key).isNotNull() & ~F.exists(vector, lambda v: v.isNull()) & (F.size(vector) > 0)
+    rows, asked = (d.select(key, vector, *([scope] if scope else [])).where(whole) for d in (vectors, queries))
+    if scope:
+        rows, asked = (d.where(F.col(scope).isNotNull()) for d in (rows, asked))
+    n_rows, n_asked = max(1, -(-rows.count() // ROWS)), max(1, -(-asked.count() // AT_ONCE))
+    own = lambda d, n, at: d.withColumn(at, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = own(rows, n_rows, "_r").withColumn("_q", every(n_asked))
+    asked = own(asked, n_asked, "_q").withColumn("_r", every(n_rows))
+    asked = asked.select("_r", "_q", F.col(key).alias("query"), F.col(vector).alias("q"), *([F.col(scope).alias("within")] if scope else []))
+    kinds = dict(vectors.dtypes)
+
+    def alike(own: pd.Series, within: Iterable) -> dict[tuple, list[int]]:
+        """Places of the vectors of each size and scope."""
+        found: dict[tuple, list[int]] = {}
+        for at, kind in enumerate(zip(own.map(len), within)):
+            found.setdefault(kind, []).append(at)
+        return found
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out, places = [], alike(right[vector], right[scope] if scope else repeat(0))
+        for kind, asking in alike(left["q"], left["within"] if scope else repeat(0)).items():
+            if kind in places:
+                sides = (right[[key, vector]].iloc[places[kind]], left[["query", "q"]].iloc[asking])
+                (keys, x), (own, q) = ((d.iloc[:, 0].to_numpy(), np.stack(d.iloc[:, 1].to_numpy()).astype(float)) for d in sides)
+                with np.errstate(all="ignore"):
+                    out += [pd.DataFrame({"query": own[i], key: keys[j], "score": score}) for i, j, score in _block(keys, x, own, q, k, least)]
+        return pd.concat(out) if out else pd.DataFrame({"query": left["query"].iloc[:0], key: right[key].iloc[:0], "score": np.zeros(0)})
+
+    met = asked.groupBy("_r", "_q").cogroup(rows.groupBy("_r", "_q"))
+    scored = met.applyInPandas(run, f"query {kinds[key]}, {key} {kinds[key]}, score double")
+    scored = scored.withColumn("score", F.coalesce("score", F.lit(float("nan"))))  # pandas has one word for both
     w = W.partitionBy("query").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.select(key, "query", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def relationship_similarity(edges: DataFrame, query: list[float], limit: int, least: float = -1.0, anchors: DataFrame | None = None) -> DataFrame:
@@ -161,11 +224,12 @@ def diversify(candidates: DataFrame, key: str, vector: str, weight: float, limit
         pdf = pdf.sort_values(key).reset_index(drop=True)
         x = np.stack([np.asarray(v, float) for v in pdf[vector]])
         norm = np.linalg.norm(x, axis=1)
-        left, penalty, out = list(range(len(pdf))), np.zeros(len(pdf)), []
-        while left and len(out) < limit:
-            scores = [weight * pdf["score"][i] - (1 - weight) * penalty[i] for i in left]
-            best = left.pop(int(np.argmax(scores)))
-            out.append((pdf[group].iloc[0], pdf[key][best], max(scores), len(out) + 1))
+        given, left, penalty, out = weight * pdf["score"].to_numpy(), np.ones(len(pdf), bool), np.zeros(len(pdf)), []
+        while left.any() and len(out) < limit:
+            scores = np.where(left, given - (1 - weight) * penalty, -np.inf)
+            best = int(np.argmax(scores))
+            left[best] = False
+            out.append((pdf[group].iloc[0], pdf[key][best], scores[best], len(out) + 1))
             with np.errstate(divide="ignore", invalid="ignore"):
                 near = np.nan_to_num(x @ x[best] / (norm * norm[best]))
             penalty = np.maximum(penalty, np.clip(near, 0, 1))

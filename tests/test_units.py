@@ -5,6 +5,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import names, values
@@ -120,6 +121,26 @@ def test_composite_keys_meet_only_groups_that_are_whole(spark, extra):
     assert most and max(most) <= 4 * len(want)
 
 
+def test_nearest_equals_brute_force_over_blocks(spark, monkeypatch):
+    """Copies, zero, null, short and non-finite vectors, several blocks; the score is the expression's, to the last bit."""
+    monkeypatch.setattr(search, "ROWS", 40)
+    monkeypatch.setattr(search, "AT_ONCE", 7)
+    draw = random.Random(5)
+    vectors = [[draw.gauss(0, 1) for _ in range(9)] for _ in range(150)]
+    vectors += [vectors[3]] * 60 + [[2 * v for v in vectors[10]]] * 5 + [[0.0] * 9, None, [None] + [1.0] * 8, [1.0] * 4, [], [float("nan")] * 9, [float("inf")] + [1.0] * 8]
+    df = spark.createDataFrame([(i, v, None if i == 20 else i % 3) for i, v in enumerate(vectors)], "id long, v array<float>, grp int")
+    asked = df.where("id % 4 = 0 or id > 200")
+    for least, scope, k in ((-1.0, None, 6), (0.35, "grp", 4)):
+        a, b = asked.select(F.col("id").alias("query"), F.col("v").alias("q"), F.col("grp").alias("g")), df
+        pairs = a.join(b, (F.col("g") == F.col("grp")) if scope else F.lit(True)).where("id <> query").withColumn("score", search.cosine(F.col("v"), F.col("q"))).where(F.col("score") >= least)
+        w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        want = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        found = search.nearest(df, asked, "id", "v", k, least, scope)
+        both = [sorted((r.query, r.rank, r.id, repr(r.score)) for r in d.select("query", "rank", "id", "score").collect()) for d in (found, want)]
+        assert both[0] == both[1] and both[0]
+        assert "asked" not in found._jdf.queryExecution().toString()  # no row of all queries that every vector meets
+
+
 def test_fold_state_machine(spark):
     e = [(1, 1, 0, True, False, {"a": "1"}), (1, 2, 0, False, False, {"b": "2"}), (1, 3, 0, True, True, {}), (1, 3, 1, True, False, {"a": "1"}), (1, 4, 0, True, False, {"a": "1"}), (2, 1, 0, True, True, {}), (3, 1, 0, True, False, {"a": "1"}), (3, 1, 1, True, False, {"a": "2"})]
     df = spark.createDataFrame([(*x, []) for x in e], "chain_id int, captured_at int, idx int, full boolean, deleted boolean, props map<string,string>, loose array<string>")
