@@ -57,6 +57,20 @@ def without_revived(found: DataFrame) -> DataFrame:
     return found.where(~(F.col("deleted_at").isNotNull() & ~F.col("is_primary") & (F.col("stored_primary") != F.col("observed_primary"))))
 
 
+def usable(asked: DataFrame, index: DataFrame, heads: DataFrame) -> DataFrame:
+    """``(hash, chain_id)`` that lead observations ``asked (hash, is_primary, observed_primary)`` to stored chains.
+
+    The same pairs as by :func:`without_revived`, but an observation's primary key is looked up among those of deleted
+    chains: a chain with many keys that many observations share is never paired with each of them.
+    """
+    stored = index.select("hash", "chain_id").distinct().join(heads.select("chain_id", F.col("deleted_at").isNotNull().alias("dead")), "chain_id")
+    by_kind = asked.groupBy("hash").agg(F.coalesce(F.max("is_primary"), F.lit(False)).alias("primary"))
+    found = stored.join(by_kind, "hash")
+    own = index.where("is_primary").select("chain_id", F.col("hash").alias("observed_primary")).join(stored.where("dead").select("chain_id").distinct(), "chain_id", "left_semi")
+    same = asked.where("not is_primary").select("hash", "observed_primary").join(own, "observed_primary").select("hash", "chain_id").distinct()
+    return found.where("not dead or primary").select("hash", "chain_id").union(found.where("dead and not primary").join(same, ["hash", "chain_id"], "left_semi").select("hash", "chain_id"))
+
+
 def endpoints(requests: DataFrame, live: DataFrame) -> DataFrame:
     """Declared endpoints ``(request, hash, captured_at)`` that one live match answers, not captured before its last change."""
     found = requests.join(live, "hash")

@@ -64,9 +64,8 @@ def resolve(observations: DataFrame, heads: DataFrame, index: DataFrame) -> Data
     """
     hashes = materialise(key_hashes(observations, "obs"), "hashes")
     primary = hashes.where("is_primary").select("obs", F.col("hash").alias("observed_primary"))
-    stored = index.join(index.where("is_primary").select("chain_id", F.col("hash").alias("stored_primary")), "chain_id", "left").join(heads.select("chain_id", "deleted_at"), "chain_id")
-    met = hashes.join(primary, "obs").select("hash", "is_primary", "observed_primary").distinct().join(stored.drop("is_primary"), "hash")
-    usable = materialise(identity.without_revived(met).select("hash", "chain_id").distinct(), "usable")
+    asked = hashes.join(primary, "obs").select("hash", "is_primary", "observed_primary").distinct()
+    usable = materialise(identity.usable(asked, index, heads), "usable")
     parts = materialise(identity.resolve(hashes.select("obs", "hash"), usable), "parts")
     fresh = parts.join(primary, "obs").groupBy("component").agg(F.min("observed_primary").alias("fresh"))
     named = parts.join(fresh, "component").withColumn("chain_id", F.coalesce("chain_id", "fresh")).drop("fresh")

@@ -219,3 +219,35 @@ def test_children_and_schema(spark):
     assert {r.chain_id for r in rows.collect()} == {"p/Part/1", "p/Part/2"} and edges.count() == 2
     rule = {"required": ["port", "name"], "properties": {"port": {"type": "integer", "maximum": 79}, "mode": {"enum": ["a"]}}}
     assert df.select(snapshots.schema_problems(F.col("props"), rule).alias("p")).first().p == ["name: required", "port: maximum", "mode: enum"]
+
+
+def test_usable_keys_are_those_of_the_pairs_without_the_pairs(spark):
+    """Forty observations and forty stored keys share one alternate key: no join gives their product."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators import identity
+
+    draw = random.Random(3)
+    index = [(f"p{i}", f"c{i % 6}", True) for i in range(240)] + [(f"a{i % 4}", f"c{i}", False) for i in range(6)] + [("a9", "c7", False), ("p3", "c5", True)]
+    heads = [(f"c{i}", None if i % 2 else 1) for i in range(8)]
+    asked = [("a0", False, f"p{i}") for i in range(40)] + [("a2", False, f"p{i}") for i in range(0, 60, 5)] + [("a9", False, "p1"), ("p0", True, "p0"), ("a1", True, "a1"), ("p2", False, "p7")]
+    asked += [(draw.choice(["a2", "a3", "p4"]), draw.random() < 0.2, f"p{draw.randrange(90)}") for _ in range(20)]
+    asked = spark.createDataFrame(asked, "hash string, is_primary boolean, observed_primary string").distinct()
+    index, heads = spark.createDataFrame(index, "hash string, chain_id string, is_primary boolean"), spark.createDataFrame(heads, "chain_id string, deleted_at int")
+    stored = index.join(index.where("is_primary").select("chain_id", F.col("hash").alias("stored_primary")), "chain_id", "left").join(heads, "chain_id")
+    want = identity.without_revived(asked.join(stored.drop("is_primary"), "hash")).select("hash", "chain_id").distinct()
+    found = identity.usable(asked, index, heads)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    most = []
+
+    def visit(node):
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            most.append(node.metrics().apply("numOutputRows").value())
+        inner = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if "QueryStage" in node.nodeName() else None
+        for child in [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]:
+            visit(child)
+
+    visit(found._jdf.queryExecution().executedPlan())
+    assert most and max(most) <= asked.count() + index.count()
