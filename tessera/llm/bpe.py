@@ -13,8 +13,9 @@ the output's name is refused.
 from __future__ import annotations
 
 import base64
+import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, pairwise, takewhile
 
@@ -30,7 +31,7 @@ from tessera.llm.words import spare
 
 #: Bytes of pieces of text remembered by a worker with their ids, in each of two generations: a full one replaces the
 #: older.  Longer pieces than LONG_PIECE characters are not remembered; an entry counts _ENTRY bytes besides its text.
-KEPT_BYTES, LONG_PIECE, _ENTRY = 1 << 25, 256, 300
+KEPT_BYTES, LONG_PIECE, _ENTRY = 1 << 26, 256, 300
 #: Pairs of tokens remembered.
 PAIRS_KEPT = 200_000
 _NEVER = 1 << 62
@@ -201,6 +202,20 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def encoded(c: Codec, texts: Iterable) -> list[list[int]]:
+    """Ids of a batch of texts; what is no text has none.
+
+    Encoding makes no reference cycles, and the collector would walk all remembered pieces again and again: it rests.
+    """
+    active = gc.isenabled()
+    gc.disable()
+    try:
+        return [c.encode(t if isinstance(t, str) else "") for t in texts]
+    finally:
+        if active:
+            gc.enable()
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids``: the token ids of the whole text, each match of ``pattern`` encoded by itself."""
     if ids in df.columns:
@@ -210,7 +225,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, pattern)
         for s in parts:
-            yield pd.Series([np.array(c.encode(t if isinstance(t, str) else ""), np.int32) for t in s], dtype=object)
+            yield pd.Series([np.array(own, np.int32) for own in encoded(c, s)], dtype=object)
 
     return df.withColumn(ids, run(df[text]))
 
@@ -237,8 +252,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, keep: list[str], text: st
         c, bytes_of = codec(path, pattern), vocabulary(path).__getitem__
         for s in parts:
             ids, decoded = [], []
-            for t in s:
-                own = c.encode(t if isinstance(t, str) else "")
+            for own in encoded(c, s):
                 ids.append(np.array(own, np.int32))
                 decoded.append(b"".join(map(bytes_of, own)))
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})

@@ -699,3 +699,16 @@ def test_part_equals_sql(spark, sf, name):
     want = cur.fetchall()
     order = [c[0] for c in cur.description]
     assert sorted(map(str, (tuple(r) for r in df.select(*order).collect()))) == sorted(map(str, want)) and want
+
+
+def test_the_collector_rests_while_texts_are_encoded():
+    import gc
+
+    class Seen:
+        def encode(self, text):
+            states.append(gc.isenabled())
+            return [len(text)]
+
+    states: list[bool] = []
+    assert bpe.encoded(Seen(), ["a", None, "bcd", float("nan")]) == [[1], [0], [3], [0]]
+    assert states == [False] * 4 and gc.isenabled()
