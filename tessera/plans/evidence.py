@@ -196,10 +196,11 @@ def rule_transitions(spark, sf):
   from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1""")
 def metadata_conflicts(spark, sf):
     """Neighbouring lines of an order as two observations of one instant."""
-    tags = F.create_map(F.lit("flag"), F.col("l_returnflag"), F.lit("status"), F.col("l_linestatus"))
-    one = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", tags.alias("first"))
-    two = one.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("first").alias("second"))
-    return one.join(two, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.array_join(values.tag_conflicts(F.col("first"), F.col("second")), " ").alias("conflicts"))
+    tags = lambda flag, status: F.create_map(F.lit("flag"), F.col(flag), F.lit("status"), F.col(status))
+    one = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    two = one.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
+    found = values.tag_conflicts(tags("l_returnflag", "l_linestatus"), tags("flag", "status"))
+    return one.join(two, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.array_join(found, " ").alias("conflicts"))
 
 
 @query(f"select source_chain, target_chain from ({SQL_EDGES}) where location = 'o_custkey' and cast(split_part(source_chain, ':', 2) as bigint) in (select o_orderkey from orders where o_orderstatus = 'P')")

@@ -374,3 +374,13 @@ def test_fair_selection_against_brute_force(spark):
                 if free and len(chosen) < 7 and len({i for i in groups[g] if i in chosen}) < turn:
                     chosen.append(free[0])
         assert got[q] == set(chosen)
+
+
+def test_metadata_conflicts_joins_plain_columns(spark, sf):
+    from tessera import catalog
+
+    plan = catalog.queries()["metadata_conflicts"](spark, sf)._jdf.queryExecution().optimizedPlan()
+    join = plan
+    while "Join" not in join.nodeName():
+        join = join.children().apply(0)
+    assert "map(" not in join.toString()  # no maps in what is sorted and shuffled
