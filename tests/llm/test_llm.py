@@ -663,6 +663,13 @@ def test_pipeline_of_strange_rows(spark, sf):
     assert len(tokens) == docs.count() and sum(r.n_tokens == 0 for r in tokens) == 2
 
 
+def test_the_pipeline_cuts_every_text_once(spark, sf, docs):
+    from corpus_pipeline import cut_passages
+
+    plan = cut_passages(spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_pipeline(spark, sf, docs, texts):
     import corpus_pipeline as p
 
