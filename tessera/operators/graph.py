@@ -74,19 +74,34 @@ def subgraph(edges: DataFrame, roots: DataFrame, depth: int, hop_limit: int, edg
 def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, hops: int = 3, most: int = 10, direction: str = "out") -> DataFrame:
     """``(start, end, length, path)``: up to ``most`` paths without a repeated node, shortest first, then by path.
 
-    ``direction`` says which way edges are walked: ``out``, ``in`` or ``both``.
+    ``direction`` says which way edges are walked: ``out``, ``in`` or ``both``.  The last step of a path meets only edges
+    to an end.  A walk reaches an end by one edge at most, so a start with up to ``most`` walks has no more paths to any
+    end: its paths are returned as they are found, and only those of other starts are ranked.
     """
     forth = edges.select(F.col("source_chain").alias("a"), F.col("target_chain").alias("b"))
     back = edges.select(F.col("target_chain").alias("a"), F.col("source_chain").alias("b"))
     e = {"out": forth, "in": back, "both": forth.union(back)}[direction].distinct()
-    goal = ends.select(F.col("chain_id").alias("end")).distinct()
-    walk = starts.select(F.array("chain_id").alias("path"), F.col("chain_id").alias("tip")).distinct()
-    found = []
-    for length in range(1, hops + 1):
-        walk = walk.join(e, walk.tip == e.a).where(~F.array_contains("path", F.col("b"))).select(F.array_append("path", F.col("b")).alias("path"), F.col("b").alias("tip"))
-        found.append(walk.join(goal, walk.tip == goal.end).select(F.col("path")[0].alias("start"), "end", F.lit(length).alias("length"), "path"))
+    goal = ends.select(F.col("chain_id").alias("b")).distinct()
+    last = materialise(e.join(goal, "b", "left_semi").select("a", "b"), "last")
+    step = lambda walk, e: walk.join(e, walk.tip == e.a).where(~F.array_contains("path", F.col("b")))
+    walks = [starts.select(F.array("chain_id").alias("path"), F.col("chain_id").alias("tip")).distinct()]
+    for _ in range(1, hops):
+        walks.append(materialise(step(walks[-1], e).select(F.array_append("path", F.col("b")).alias("path"), F.col("b").alias("tip")), "walks"))
+    begun = reduce(DataFrame.union, [w.select(F.col("path")[0].alias("start")) for w in walks])
+    many = materialise(begun.groupBy("start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("start"), "many")
+
+    def found(how: str) -> DataFrame:
+        parts = []
+        for length, walk in enumerate(walks, 1):
+            own = walk.join(many, walk.path[0] == many.start, how).select(*(walk[c] for c in walk.columns))
+            parts.append(step(own, last).select(F.col("path")[0].alias("start"), F.col("b").alias("end"), F.lit(length).alias("length"), F.array_append("path", F.col("b")).alias("path")))
+        return reduce(DataFrame.union, parts)
+
+    few = found("left_anti")
+    if many.isEmpty():
+        return few
     w = W.partitionBy("start", "end").orderBy("length", "path")
-    return reduce(DataFrame.union, found).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+    return few.union(found("left_semi").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r"))
 
 
 def overview(entities: DataFrame, edges: DataFrame) -> DataFrame:
