@@ -32,14 +32,17 @@ def neighbours(edges: DataFrame, anchors: DataFrame, direction: str = "both", na
 def bounded_search(edges: DataFrame, roots: DataFrame, depth: int, budget: int | None = None) -> DataFrame:
     """``(root, chain_id, distance, score)`` within ``depth`` undirected steps of each root; score is 1 / (1 + distance).
 
-    A hop joins the frontier alone with the edges and drops what was reached before.  ``budget`` bounds the chains of a
+    A hop joins the frontier alone with the edges, from either end, and drops what was reached before; edges are stored
+    once, not both ways.  ``budget`` bounds the chains of a
     root (nearest first, then by id); types restrict results, not the way, so filter afterwards.
     """
-    pairs = materialise(undirected(edges), "pairs")
+    pairs = materialise(edges.select(F.col("source_chain").alias("a"), F.col("target_chain").alias("b")).distinct(), "pairs")
     seen = materialise(roots.select(F.col("chain_id").alias("root"), "chain_id", F.lit(0).alias("distance")).distinct(), "reached")
     front = seen
     for d in range(1, depth + 1):
-        step = front.join(pairs, front.chain_id == pairs.a).select("root", F.col("b").alias("chain_id")).distinct()
+        forth = front.join(pairs, front.chain_id == pairs.a).select("root", F.col("b").alias("chain_id"))
+        back = front.join(pairs, front.chain_id == pairs.b).select("root", F.col("a").alias("chain_id"))
+        step = forth.union(back).distinct()
         front = materialise(step.join(seen, ["root", "chain_id"], "left_anti").withColumn("distance", F.lit(d)), "frontier")
         if front.isEmpty():
             break

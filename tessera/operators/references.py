@@ -49,8 +49,8 @@ def decide(matches: DataFrame, observed: DataFrame) -> DataFrame:
     keys = ["source", "location", "token"]
     best = matches.where(F.col("chain_id") != F.col("source")).groupBy(*keys).agg(
         F.max("match_class").alias("class"),
-        F.count_distinct(F.when(F.col("match_class") >= 2, F.col("chain_id"))).alias("n"),
         F.min(F.when(F.col("match_class") >= 2, F.col("chain_id"))).alias("target"),
+        F.max(F.when(F.col("match_class") >= 2, F.col("chain_id"))).alias("other"),
         F.bool_or("capped").alias("capped"),
         F.bool_or(F.col("structural") & (F.col("match_class") >= 2)).alias("structural"),
     )
@@ -60,7 +60,7 @@ def decide(matches: DataFrame, observed: DataFrame) -> DataFrame:
         .when(F.col("capped"), "lookup-truncated")
         .when(F.col("class") == 0, "partial-key")
         .when(F.col("class") == 1, "display-name-only")
-        .when(F.col("n") > 1, "multiple-candidates")
+        .when(F.col("other") > F.col("target"), "multiple-candidates")
         .when(~F.col("structural"), "insufficient-reference-evidence")
     )
     return rows.select(*keys, why.alias("reason"), F.when(why.isNull(), F.col("target")).alias("target"))
@@ -166,14 +166,18 @@ def guided(values: DataFrame, mappings: DataFrame, index: DataFrame) -> DataFram
 
 
 def edges(decisions: DataFrame, observed: DataFrame) -> DataFrame:
-    """Reference edges of confirmed decisions, with slot, identity and cardinality keys; lists carry no cardinality key."""
+    """Reference edges of confirmed decisions, with slot, identity and cardinality keys; lists carry no cardinality key.
+
+    Repeats go before the digests are made, so a reader who asks for the ends alone pays for no digest.
+    """
     rows = decisions.where("target is not null").join(observed.select("source", "source_type", "location", "token", "from_list").distinct(), ["source", "location", "token"])
-    own = slot(F.col("source_type"), F.col("location"))
+    single = F.coalesce(~F.col("from_list"), F.lit(False))
+    rows = rows.select("source", "target", slot(F.col("source_type"), F.col("location")).alias("slot"), single.alias("single")).distinct()
     return rows.select(
-        F.col("source").alias("source_chain"), F.col("target").alias("target_chain"), F.lit("RELATES_TO").alias("name"), F.lit(0.9).alias("confidence"), own.alias("slot"),
-        F.sha2(F.concat_ws("|", "source", "target", F.lit("RELATES_TO"), own), 256).alias("identity"),
-        F.when(~F.col("from_list"), F.sha2(F.concat_ws("|", "source", F.lit("RELATES_TO"), own), 256)).alias("cardinality_key"),
-    ).distinct()
+        F.col("source").alias("source_chain"), F.col("target").alias("target_chain"), F.lit("RELATES_TO").alias("name"), F.lit(0.9).alias("confidence"), "slot",
+        F.sha2(F.concat_ws("|", "source", "target", F.lit("RELATES_TO"), "slot"), 256).alias("identity"),
+        F.when(F.col("single"), F.sha2(F.concat_ws("|", "source", F.lit("RELATES_TO"), "slot"), 256)).alias("cardinality_key"),
+    )
 
 
 def without_declared(found: DataFrame, declared: DataFrame) -> DataFrame:
